@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from breakweave.llm.common import table
 from breakweave.llm.media_chunks import media_columns
 from breakweave.llm.mixing import mix_sources
+from breakweave.llm.simhash import near_duplicates
 from breakweave.llm.token_count import token_counts
 from breakweave.llm.token_files import token_files
 
@@ -30,8 +31,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op2_media_chunks, op5_token_files, op6_mixing)}
+    return {f.__name__: f for f in (op1_token_count, op2_media_chunks, op5_token_files, op6_mixing, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
