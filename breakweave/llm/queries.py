@@ -13,6 +13,7 @@ from breakweave.llm.mixing import mix_sources
 from breakweave.llm.simhash import near_duplicates
 from breakweave.llm.token_count import token_counts
 from breakweave.llm.token_files import token_files
+from breakweave.llm.url_trust import judge_pages
 
 
 def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +36,23 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The rules that pages are judged by (host, path, verdict).
+PAGE_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"select * from values {', '.join(map(str, PAGE_RULES))} as t(rule_host, rule_path, rule_verdict)")
+    return judge_pages(table(spark, sf_dir, "pages"), rules)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op2_media_chunks, op5_token_files, op6_mixing, op9_simhash)}
+    return {f.__name__: f for f in (op1_token_count, op2_media_chunks, op5_token_files, op6_mixing, op9_simhash, op10_url_trust)}
 
 
 def oracle_sql() -> dict[str, str]:
