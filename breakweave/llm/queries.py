@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from breakweave.llm.common import table
+from breakweave.llm.decontaminate import template_leaks
 from breakweave.llm.media_chunks import media_columns
 from breakweave.llm.mixing import mix_sources
 from breakweave.llm.simhash import near_duplicates
@@ -24,6 +25,10 @@ def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), spark)
 
 
+def op3_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), spark, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,7 +57,7 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op2_media_chunks, op5_token_files, op6_mixing, op9_simhash, op10_url_trust)}
+    return {f.__name__: f for f in (op1_token_count, op2_media_chunks, op3_template_leaks, op5_token_files, op6_mixing, op9_simhash, op10_url_trust)}
 
 
 def oracle_sql() -> dict[str, str]:
