@@ -11,6 +11,7 @@ from breakweave.llm.common import table
 from breakweave.llm.decontaminate import template_leaks
 from breakweave.llm.media_chunks import media_columns
 from breakweave.llm.mixing import mix_sources
+from breakweave.llm.pu_quality import score_quality
 from breakweave.llm.simhash import near_duplicates
 from breakweave.llm.token_count import token_counts
 from breakweave.llm.token_files import token_files
@@ -29,6 +30,10 @@ def op3_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), spark, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -57,7 +62,7 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op2_media_chunks, op3_template_leaks, op5_token_files, op6_mixing, op9_simhash, op10_url_trust)}
+    return {f.__name__: f for f in (op1_token_count, op2_media_chunks, op3_template_leaks, op4_pu_quality, op5_token_files, op6_mixing, op9_simhash, op10_url_trust)}
 
 
 def oracle_sql() -> dict[str, str]:
