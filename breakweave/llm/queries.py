@@ -11,6 +11,7 @@ from breakweave.llm.common import table
 from breakweave.llm.decontaminate import template_leaks
 from breakweave.llm.media_chunks import media_columns
 from breakweave.llm.mixing import mix_sources
+from breakweave.llm.pii import find_private
 from breakweave.llm.pu_quality import score_quality
 from breakweave.llm.simhash import near_duplicates
 from breakweave.llm.token_count import token_counts
@@ -42,6 +43,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_private(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op2_media_chunks, op3_template_leaks, op4_pu_quality, op5_token_files, op6_mixing, op9_simhash, op10_url_trust)}
+    return {f.__name__: f for f in (op1_token_count, op2_media_chunks, op3_template_leaks, op4_pu_quality, op5_token_files, op6_mixing, op8_pii, op9_simhash, op10_url_trust)}
 
 
 def oracle_sql() -> dict[str, str]:
