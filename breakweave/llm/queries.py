@@ -14,6 +14,7 @@ from breakweave.llm.mixing import mix_sources
 from breakweave.llm.pii import find_private
 from breakweave.llm.pu_quality import score_quality
 from breakweave.llm.simhash import near_duplicates
+from breakweave.llm.suffix_dedup import remove_repeats
 from breakweave.llm.token_count import token_counts
 from breakweave.llm.token_files import token_files
 from breakweave.llm.url_trust import judge_pages
@@ -43,6 +44,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private(table(spark, sf_dir, "documents"))
 
@@ -67,7 +72,19 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op2_media_chunks, op3_template_leaks, op4_pu_quality, op5_token_files, op6_mixing, op8_pii, op9_simhash, op10_url_trust)}
+    registered = (
+        op1_token_count,
+        op2_media_chunks,
+        op3_template_leaks,
+        op4_pu_quality,
+        op5_token_files,
+        op6_mixing,
+        op7_suffix_dedup,
+        op8_pii,
+        op9_simhash,
+        op10_url_trust,
+    )
+    return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:
