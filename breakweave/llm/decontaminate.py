@@ -127,3 +127,9 @@ def template_leaks(
         .agg(best.alias("b"))
         .select("doc_id", "item_id", "b.*", F.when(F.col("b.n_changed") > 0, "reparameterised").otherwise("verbatim").alias("kind"))
     )
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns; rows without id stay."""
+    leaks = template_leaks(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)

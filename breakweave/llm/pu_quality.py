@@ -213,3 +213,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = rows.mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The documents that the classifier does not reject, with all their columns; one map after fitting."""
+    bounded_batches(docs.sparkSession)
+    net, _ = train(docs, labels, sample)
+
+    def kept(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if net and len(batch):
+                x = np.stack([features(text) for text in batch.column("text").to_pylist()]).astype(np.float64)
+                batch = batch.filter(pa.array(net.score(x) >= 0.5))
+            yield batch
+
+    return docs.mapInArrow(kept, docs.schema)
