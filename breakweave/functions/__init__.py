@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Package of the indel engine."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""No operator of this engine is a streaming one: the data have no time dimension. Kept for the layout."""
