@@ -98,7 +98,6 @@ def markov_scores(context: list[str], motif: list[str], distance: list[int], mem
     q = np.ones(k)  # product of 1 - p over states 2 .. t
     q_first = np.ones(k)
     lk, p_val, p_chance = np.zeros(k), np.zeros(k), np.zeros(k)
-    previous = np.ones(k)  # q without its last factor
     for t in range(2, int(d.max()) + 1):
         before, now = now, walk(now)
         p = begun(now, before)
@@ -106,9 +105,9 @@ def markov_scores(context: list[str], motif: list[str], distance: list[int], mem
         at = d == t
         lk[at] = q[at] * (1 - factor[at])
         p_chance[at] = p[at]
-        # The prefix sums of likelihoods telescope: q after the first factor minus q before the last two.
-        p_val[at] = np.where(t >= 4, q_first[at] - q[at], 0.0)
-        previous, q = q, q * factor
+        q = q * factor
+        # The sum of the prefixes' likelihoods telescopes: the first factor minus the product of all.
+        p_val[at] = q_first[at] - q[at] if t > 2 else 0.0
         if t == 2:
             q_first = q.copy()
     e1 = first_step(freq)
