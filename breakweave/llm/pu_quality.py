@@ -25,6 +25,8 @@ SAMPLE = 8000
 HIDDEN = 16
 EPOCHS = 40
 BATCH = 1024
+#: Steps of gradient descent at least, for small samples.
+LEAST_STEPS = 300
 SEED = 4
 #: Bytes that are no marks: letters, digits, white space, full stop and comma, and all of non-ASCII letters.
 PLAIN = bytes(b for b in range(256) if b > 127 or chr(b).isalnum() or chr(b) in " \t\r\n.,")
@@ -118,7 +120,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, rng: np.random.
     mean, scale = moments(positive, unlabelled)
     net = Net(mean, scale, rng)
     half_p, half_u = len(positive) // 2, len(unlabelled) // 2
-    rounds = max(1, EPOCHS // 2 * max(half_p, half_u) // BATCH)
+    rounds = max(LEAST_STEPS, EPOCHS // 2 * max(half_p, half_u) // BATCH)
     for a, b in zip(batches(half_p, rng, rounds), batches(half_u, rng, rounds), strict=True):
         x, h, z = net.forward(np.concatenate([positive[a], unlabelled[b]]))
         y = np.concatenate([np.ones(len(a)), np.zeros(len(b))])
@@ -142,7 +144,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     rng = np.random.Generator(np.random.PCG64(SEED))
     prior = estimate_prior(positive, unlabelled, rng) if prior is None else prior
     net = Net(*moments(positive, unlabelled), rng)
-    rounds = max(1, EPOCHS * max(len(positive), len(unlabelled)) // BATCH)
+    rounds = max(LEAST_STEPS, EPOCHS * max(len(positive), len(unlabelled)) // BATCH)
     for a, b in zip(batches(len(positive), rng, rounds), batches(len(unlabelled), rng, rounds), strict=True):
         x, h, z = net.forward(np.concatenate([positive[a], unlabelled[b]]))
         s, k = sigmoid(z), len(a)
