@@ -7,8 +7,11 @@ part) and `docs` (doc_id, signed 64-bit). The parts' sizes, one number each, are
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breakweave.llm.common import bounded_batches, materialise, read_only, shared_dir, write_whole
+from breakweave.llm.token_count import byte_letters
 
 #: Words whose ids a Python worker remembers at most before it starts afresh.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 MEMO_LENGTH = 200
-#: Between words that are encoded in one call.
-TOGETHER = 256
+#: Words that are encoded in one call.
+TOGETHER = 8192
+#: Plain words that are encoded as one text.
+ROW = 1000
+#: Marks that may follow a word; a run of them is one piece of the pattern.
+MARKS = ".,!%*&$#|:;?"
 #: Input bytes that one part takes, about; parts are tasks, so this bounds what a task encodes.
 PART_BYTES = 24 << 20
 #: doc_id stored for a row whose doc_id is null.
@@ -32,37 +40,79 @@ class Encoder:
     """Ids of texts by the tokenizers library, word by word.
 
     The vocabulary's normaliser and pattern drop white space and never look across it, so a text's ids are those
-    of its words in turn. Letters and one trailing mark are separate pieces too, and plain letters are
-    lower-cased by the vocabulary, so such words share an entry.
+    of its words in turn. Within a word, a run of letters and the marks after it are pieces of their own. Words of
+    letters alone are lower-cased here and go straight to the library's model, which gives the same ids as the
+    whole chain; all other words take the whole chain.
     """
 
     def __init__(self, vocabulary: str, kind: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.library = Tokenizer.from_file(vocabulary)
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        end = self.library.model.end_of_word_suffix
+        self.last = np.zeros(self.library.get_vocab_size(), bool)
+        if end:
+            self.last[[n for token, n in self.library.get_vocab().items() if token.endswith(end)]] = True
+        self.marks_ends = bool(end)
+        self.letters = byte_letters()
         self.kind = kind
         self.memo: dict[str, bytes] = {"": b""}
 
+    def plain(self, word: str) -> str | None:
+        """The normal form of a word of letters; None if the word needs the whole chain."""
+        if not self.marks_ends or not word.isalpha():
+            return None
+        if word.isascii():
+            return word.lower()
+        if not is_normalized("NFC", word):
+            return None
+        low = "".join([c.lower() for c in word])
+        return low if low.isalpha() and is_normalized("NFC", low) else None
+
+    def enter(self, words: list[str]) -> None:
+        """Words that need the whole chain."""
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            for word, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.memo[word] = np.array(got.ids, self.kind).tobytes()
+
+    def enter_plain(self, words: list[str]) -> None:
+        """Words in normal form, many in one text: the ids that end a word tell them apart."""
+        width = np.dtype(self.kind).itemsize
+        spelt = [w if w.isascii() else "".join([self.letters[b] for b in w.encode()]) for w in words]
+        texts = [" ".join(spelt[at : at + ROW]) for at in range(0, len(words), ROW)]
+        for k, got in enumerate(self.model.encode_batch_fast(texts, add_special_tokens=False)):
+            part, ids = words[k * ROW : (k + 1) * ROW], np.array(got.ids, self.kind)
+            cuts = ((np.flatnonzero(self.last[ids]) + 1) * width).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            blob = ids.tobytes()
+            self.memo.update(zip(part, [blob[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+
     def learn(self, words: set[str]) -> None:
         """Enter the ids of words that are not yet known."""
-        memo, whole, alias = self.memo, {}, []
+        memo, alias, letters, others = self.memo, [], set(), set()
         for word in words:
-            base, mark = (word[:-1], word[-1]) if word[-1] in ",." and word[:-1].isalpha() else (word, "")
-            if base.isascii() and base.isalpha():
-                base = base.lower()
+            stem = word.rstrip(MARKS)
+            base = self.plain(stem)
+            if base is None:
+                others.add(word)
+                continue
             if base != word:
-                alias.append((word, base, mark))
-                if mark and mark not in memo:
-                    whole[mark] = None
+                marks = word[len(stem) :]
+                alias.append((word, base, marks))
+                if marks not in memo:
+                    others.add(marks)
             if base not in memo:
-                whole[base] = None
-        order = list(whole)
-        for at in range(0, len(order), 8192):
-            part = order[at : at + 8192]
-            for word, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[word] = np.array(got.ids, self.kind).tobytes()
-        for word, base, mark in alias:
-            memo[word] = memo[base] + memo[mark] if mark else memo[base]
+                letters.add(base)
+        self.enter_plain(list(letters))
+        self.enter(list(others))
+        for word, base, marks in alias:
+            memo[word] = memo[base] + memo[marks]
 
     def ids(self, texts: list[str | None], end: int) -> list[bytes]:
         """The little-endian ids of each text, with the end id."""
@@ -81,6 +131,12 @@ class Encoder:
         return [b"".join(map(get, words)) + tail for words in split]
 
 
+@lru_cache(1)
+def encoder(vocabulary: str, kind: str) -> Encoder:
+    """The worker's encoder, which keeps its words from task to task."""
+    return Encoder(vocabulary, kind)
+
+
 def id_type(vocabulary: str, end: int) -> str:
     """The narrowest of the unsigned types that holds every id."""
     from tokenizers import Tokenizer
@@ -97,9 +153,13 @@ def dealt_by_id(docs: DataFrame, parts: int) -> DataFrame:
     edges = sorted({int(b) for b in bounds})
     if not edges:
         return docs.withColumn("part", F.lit(0))
-    array = F.array(*[F.lit(b).cast("long") for b in edges])
-    at = F.size(F.filter(array, lambda edge: edge <= F.col("doc_id")))
-    return docs.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(at))
+    # Two steps of about the square root of the number of parts each: first among every step-th edge, then between two.
+    step = max(1, round(len(edges) ** 0.5))
+    array = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    below = lambda values: F.size(F.filter(values, lambda edge: edge <= F.col("doc_id")))
+    coarse = F.greatest(below(array(edges[::step])) - 1, F.lit(0)) * step
+    fine = F.slice(array(edges), coarse + 1, F.lit(step))
+    return docs.withColumn("_from", coarse).withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("_from") + below(fine))).drop("_from")
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end: int = 2, parts: int | None = None) -> DataFrame:
@@ -117,7 +177,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end: int =
         parts = max(1, -(-size // PART_BYTES))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, held = Encoder(vocabulary, kind), None, []
+        known, part, held = encoder(vocabulary, kind), None, []
 
         def close() -> pa.RecordBatch:
             ids = [x for _, blob in held for x in blob]
@@ -141,7 +201,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end: int =
                     yield close()
                     held = []
                 part = int(numbers[a])
-                held.append((keys[a:b], encoder.ids(texts[a:b], end)))
+                held.append((keys[a:b], known.ids(texts[a:b], end)))
         if held:
             yield close()
 
