@@ -126,6 +126,25 @@ def motif_gaps(ends: Column, motif: Column) -> Column:
     return F.filter(after, lambda g: g.isNotNull())
 
 
+def motif_score(seq: Column, motif: Column, window: int, at: Column) -> Column:
+    """How much likelier a homology than an end joining puts a break at `at` (from 0, after the middle of `seq`).
+
+    Homology: all places of the motif in the window are alike. End joining: falls as one over the distance.
+    """
+    half = F.bround(F.length(seq) / 2).cast("int")
+    places = F.transform(motif_ends(F.substring(seq, half + 1, F.lit(window)), motif), lambda e: e - F.length(motif))
+    share = F.when(F.array_contains(places, at), 1 / F.size(places)).otherwise(0.0)
+    decay = 1 / (at + 1) / window
+    return share / (share + decay)
+
+
+def accession_context(context: Column, window: int, kind: Column, ref: Column, alt: Column) -> Column:
+    """The context with a deletion's REF taken out at window - 1, or an insertion's ALT put in at window + 1."""
+    cut = spliced(context, window - 1, ref, F.lit(""))
+    put = spliced(context, window + 1, F.lit(""), alt)
+    return F.when(kind == "DEL", cut).when(kind == "INS", put)
+
+
 def repeat_unit(seq: Column) -> Column:
     """The shortest string of which the sequence is a whole number of copies."""
     n = F.length(seq)

@@ -158,3 +158,31 @@ def sam_to_variants(reads: DataFrame, ref: str) -> DataFrame:
     r = F.when(deleted, F.substring(whole, F.col("pos") + 1, F.col("e.len") + 1)).otherwise(F.substring(whole, F.col("pos"), F.lit(1)))
     a = F.when(deleted, F.substring("read", F.col("pos") + 1, F.lit(1))).otherwise(F.substring("read", F.col("pos"), F.col("e.len") + 1))
     return rows.select("chr", "pos", r.alias("ref"), a.alias("alt"))
+
+
+def called_deletions(calls: DataFrame, ref: str, name: str, shift: int = 0) -> DataFrame:
+    """Variants of another tool's deletion table (id, left, right: bases left + 1 to right are gone), a contig a call."""
+    whole = F.lit(ref)
+    lost = F.substring(whole, F.col("left"), F.col("right") - F.col("left") + 1)
+    return calls.select(
+        F.concat(F.lit(name), F.col("id").cast("string")).alias("chr"),
+        (F.col("left") + shift).cast("long").alias("pos"),
+        lost.alias("ref"),
+        F.substring(whole, F.col("left"), F.lit(1)).alias("alt"),
+    ).where(F.col("left") > 0)
+
+
+def called_insertions(calls: DataFrame, name: str, shift: int = 0) -> DataFrame:
+    """The same of its insertion table (id, left, right, reconstructed): the read's bases from left to right - 1."""
+    return calls.select(
+        F.concat(F.lit(name), F.col("id").cast("string")).alias("chr"),
+        (F.col("left") + shift).cast("long").alias("pos"),
+        F.substring("reconstructed", F.col("left"), F.lit(1)).alias("ref"),
+        F.substring("reconstructed", F.col("left"), F.col("right") - F.col("left")).alias("alt"),
+    ).where(F.col("left") > 0)
+
+
+def call_genome(calls: DataFrame, body: str, before: str, after: str, trim: int = 79) -> DataFrame:
+    """chr, seq: a contig for each call, its reference (a column or text) trimmed and set between two flanks."""
+    inner = F.col(body) if body in calls.columns else F.lit(body)
+    return calls.select("chr", F.concat(F.lit(before), F.substring(inner, F.lit(trim + 1), F.length(inner) - 2 * trim), F.lit(after)).alias("seq"))

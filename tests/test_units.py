@@ -152,3 +152,23 @@ def test_readers(spark, tmp_path):
     assert {r["chr"]: r["seq"] for r in readers.fasta(spark, str(tmp_path / "g.fa")).collect()} == {"chr1": "ACGTAC", "chr2": "GG"}
     (tmp_path / "r.fastq").write_text("@r1\nACGT\n+\nIIII\n@r2\nGG\n+\n@@\n")
     assert [(r["name"], r["read"], r["qual"]) for r in readers.fastq(spark, str(tmp_path / "r.fastq")).collect()] == [("r1", "ACGT", "IIII"), ("r2", "GG", "@@")]
+
+
+def test_motif_score_and_accession_context(spark):
+    row = one(spark, s="AAAAACGTAC", m="AC", ctx="AACCGGTT", r="CG", a="TT")
+    got = row.select(
+        S.motif_score(F.col("s"), F.col("m"), 5, F.lit(3)).alias("q"),
+        S.accession_context(F.col("ctx"), 4, F.lit("DEL"), F.col("r"), F.col("a")).alias("d"),
+        S.accession_context(F.col("ctx"), 4, F.lit("INS"), F.col("r"), F.col("a")).alias("i"),
+    ).first()
+    assert abs(got["q"] - 1 / (1 + 1 / 4 / 5)) < 1e-12
+    assert (got["d"], got["i"]) == ("AACGTT", "AACCGTTGTT"[:5] + "TT" + "GTT")
+
+
+def test_other_tools_calls(spark):
+    calls = spark.createDataFrame([(0, 3, 5)], "id int, left int, right int")
+    r = reads.called_deletions(calls, "ACGTACGT", "d").first()
+    assert (r["chr"], r["pos"], r["ref"], r["alt"]) == ("d0", 3, "GTA", "G")
+    calls = spark.createDataFrame([(0, 3, 6, "ACGTTTACGT")], "id int, left int, right int, reconstructed string")
+    r = reads.called_insertions(calls, "i").first()
+    assert (r["ref"], r["alt"]) == ("G", "GTT")
