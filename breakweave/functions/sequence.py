@@ -122,7 +122,8 @@ def motif_frequency(count: Column, window: Column | int, motif: Column) -> Colum
 def motif_gaps(ends: Column, motif: Column) -> Column:
     """From each occurrence's end to the start of the next one that does not overlap it."""
     k = F.length(motif)
-    after = F.transform(ends, lambda e: F.get(F.filter(ends, lambda x: x >= e + k), F.lit(0)) - k - e)
+    # Ends differ by one at least, so the next one that does not overlap is among the k after it.
+    after = F.transform(ends, lambda e, i: F.get(F.filter(F.slice(ends, i + 2, k), lambda x: x >= e + k), F.lit(0)) - k - e)
     return F.filter(after, lambda g: g.isNotNull())
 
 

@@ -222,7 +222,7 @@ def a19_mh_tail(spark: SparkSession, d: str) -> DataFrame:
       CAST(CASE WHEN k > 0 THEN indel_len - k ELSE -1 END AS BIGINT) AS dist FROM sized"""
 )
 def m1_deletion_candidates(spark: SparkSession, d: str) -> DataFrame:
-    found = detect.detect_deletions(contexts(spark, d), [4, 3, 2, 1, 0]).select("variant_id", F.explode("del").alias("m"))
+    found = detect.detect_deletions(contexts(spark, d), [4, 3, 2, 1, 0]).select("variant_id", F.explode_outer("del").alias("m"))
     return found.select("variant_id", "m.asked", "m.cand", F.col("m.len").cast("long").alias("len"), "m.last_dimer", F.coalesce("m.dist", F.lit(-1)).cast("long").alias("dist"))
 
 
@@ -308,9 +308,9 @@ GEOMETRIC = DELETIONS + """, g AS (
 ), p AS (SELECT *, c / (4000 - k_max + 1) AS p FROM g), lk AS (SELECT *, pow(1 - p, n) * p AS l FROM p)"""
 
 
-@query(GEOMETRIC + " SELECT variant_id, round(CASE WHEN k_max > 0 THEN l ELSE 1.0 END, 9) AS geo_lk, round(CASE WHEN k_max > 0 THEN (1 - pow(1 - l, n)) * l ELSE 1.0 END, 9) AS geo_p FROM lk")
+@query(GEOMETRIC + " SELECT variant_id, round(CASE WHEN k_max > 0 THEN l ELSE 1.0 END, 11) AS geo_lk, round(CASE WHEN k_max > 0 THEN (1 - pow(1 - l, n)) * l ELSE 1.0 END, 11) AS geo_p FROM lk")
 def k12_geometric(spark: SparkSession, d: str) -> DataFrame:
-    return markov.geometric_chance(deletions(spark, d)).select("variant_id", F.round("geo_lk", 9).alias("geo_lk"), F.round("geo_p", 9).alias("geo_p"))
+    return markov.geometric_chance(deletions(spark, d)).select("variant_id", F.round("geo_lk", 11).alias("geo_lk"), F.round("geo_p", 11).alias("geo_p"))
 
 
 # Expectation-maximisation
