@@ -93,7 +93,8 @@ def template_leaks(
     if windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
     rows = docs.where("doc_id is not null").select("doc_id", "text")
-    dealt = tokenised(rows, "doc_id").select("doc_id", F.posexplode(window_hashes(F.col("tokens"))).alias("doc_pos", "hash"))
+    # posexplode() would have its input tested for emptiness first, and so computed twice; empty texts' nulls meet nothing.
+    dealt = tokenised(rows, "doc_id").select("doc_id", F.posexplode_outer(window_hashes(F.col("tokens"))).alias("doc_pos", "hash"))
     hits = dealt.join(windows, "hash")
     shifts = hits.groupBy("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("start")).agg(
         F.count_distinct("item_pos").alias("windows"), F.first("n_windows").alias("n_windows")
