@@ -9,9 +9,13 @@ import uuid
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch holds at most; with texts of up to some MB a batch stays small.
 BATCH_ROWS = 512
+#: Rows of two or three numbers up to which a table is broadcast (some 8 MB), and tasks that a hot key is dealt to beyond that.
+BROADCAST_ROWS = 200_000
+SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,27 +29,42 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir, which driver and executors share.
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where the setting is missing, one machine's temporary folder takes its place.
 
-    Where the setting is missing (tests on one machine), a temporary folder takes its place.
+    A cluster without the setting is an error: its executors would not see each other's files.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="breakweave-")
         context.setCheckpointDir(root)
-    if root.startswith("/"):
-        root = "file://" + root
-    return f"{root.rstrip('/')}/breakweave/{tag}-{uuid.uuid4().hex}"
+    return "file://" + root if root.startswith("/") else root
+
+
+def shared_dir(spark: SparkSession, tag: str) -> str:
+    """A new folder's URI below spark.checkpoint.dir, which driver and executors share."""
+    return f"{shared_root(spark).rstrip('/')}/breakweave/{tag}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """checkpoint() needs a folder; it is only set here where the session names none."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        root = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="breakweave-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
+
+
+def hot_join(frame: DataFrame, keyed: DataFrame, key: str, how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+    """Join with a table of one short row a key, where one key may have a large share of `frame`'s rows.
+
+    Up to `limit` rows the table is broadcast; a larger one is joined with each key dealt over `salts` tasks.
+    """
+    if keyed.limit(limit + 1).count() <= limit:
+        return frame.join(F.broadcast(keyed), key, how)
+    left = frame.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def materialise(frame: DataFrame, spark: SparkSession, tag: str, *partition_by: str) -> DataFrame:
