@@ -126,7 +126,7 @@ def test_poisson_inversion(spark):
     from math import exp, factorial
 
     rows = spark.createDataFrame([(u, m) for m in (0.1, 1.0, 7.5, 16.0) for u in (0.0, 0.3, 0.9, 0.999999)], "u double, m double")
-    for r in rows.withColumn("k", mixing.poisson_count(F.col("u"), F.col("m"))).collect():
+    for r in rows.withColumn("k", mixing.poisson_count(F.col("u"), mixing.distribution(F.col("m")))).collect():
         total, k = exp(-r["m"]), 0
         while total <= r["u"]:
             k += 1
@@ -192,7 +192,7 @@ def test_template_leaks(spark, empty):
     rows = [
         (1, "we know " + item),
         (2, "we know Then Bob walks 7 kg and Bob pays 9 dollars for it all day long"),
-        (3, "we know Then Bob walks 7 kg and Carl pays 9 dollars for it all day long"),
+        (3, "we know Then Bob walks 7 kg and Carl pays 9 euros to it all the day long"),
         (4, None),
         (5, ""),
         (None, item),
