@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 Numbers, names and units become typed placeholders, so a question whose parameters were changed keeps its
-template. Every window of template tokens of a document is hashed and joined with the windows of the benchmark.
-Windows that line up along one shift of an item make a candidate; its slots are then compared: the values that
-the document puts into an item's slots must replace the item's values one for one.
+template. Windows of template tokens are hashed and joined with the windows of the benchmark. Windows that line up
+with an item, allowing for a few words put in or left out, make a candidate; the slots inside them are then
+compared: an item's value must be replaced by one and the same value of the document throughout.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from breakweave.llm.common import BROADCAST_ROWS, materialise
+
 #: Units of measurement and money that stand after a number.
 UNITS = (
     "km|m|cm|mm|mi|mile|miles|ft|feet|inch|inches|kg|g|mg|lb|lbs|t|l|ml|s|sec|second|seconds|min|minute|minutes|h|hour|hours|"
@@ -18,119 +20,205 @@ UNITS = (
 )
 MARK = "\u0001"
 NUMBER, NAME, UNIT = "NUM", "NAME", "UNIT"
-#: Tokens of a window.
-WINDOW = 8
+SLOTS = (NUMBER, NAME, UNIT)
+#: Window widths, in tokens. An item of n tokens takes the first one that is at most a third of n, or at most n.
+WIDTHS = (8, 4, 2, 1)
+#: Items below this length must be found whole, word for word.
+SHORT = 8
+#: Words besides slots that a window needs, as a share of its width, to count whatever its slots hold.
+LEAST_WORDS = 0.5
+#: Windows in line that make a leak by themselves, of items for which `coverage` would ask for more.
+LONG_RUN = 13
+#: Tokens by which the windows of one leak may be out of step.
+DRIFT = 8
 #: Benchmark windows up to which they are broadcast (a hash and two numbers each: about 8 MB at most).
 BROADCAST_WINDOWS = 250_000
 
 
-def cleaned(text: Column) -> Column:
-    """Words and numbers with single spaces; a name (a capitalised word inside a sentence) carries a mark."""
-    text = F.coalesce(text, F.lit(""))
-    text = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{N},;:] )", MARK)
-    text = F.regexp_replace(text, r"(?<=[0-9])[.,:/'](?=[0-9])", "")
-    return F.trim(F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}%$€£{MARK}]+", " "))
+def with_clean(frame: DataFrame, head: bool = False) -> DataFrame:
+    """Adds clean (from `text`) and digits. Each step is a column of its own, so that no step is computed twice.
 
+    clean has words and numbers with single spaces; a name (capitalised words inside a sentence) carries a mark and is
+    one token, as is a unit written next to its number. With head=True a capitalised first word is a name as well.
+    """
+    some = F.col("digits")  # the steps on numbers are left out where there are none
+    text = frame.withColumn("clean", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("digits", F.col("clean").rlike("[0-9]"))
+    text = text.withColumn("clean", F.regexp_replace("clean", r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{N},;:]\s{1,8})", MARK))
+    text = text.withColumn("clean", F.when(some, F.regexp_replace("clean", r"(?<=[0-9])[.,:/'](?=[0-9])", "")).otherwise(F.col("clean")))
+    text = text.withColumn("clean", F.trim(F.regexp_replace("clean", rf"[^\p{{L}}\p{{N}}%$€£{MARK}]+", " ")))
+    if head:
+        text = text.withColumn("clean", F.regexp_replace("clean", r"^(?=\p{Lu}\p{Ll})", MARK))
+    text = text.withColumn("clean", F.regexp_replace("clean", rf"(?<={MARK})([^ ]+) (?={MARK})", "$1_"))
+    unit = rf"(?<=[0-9])(?<!\p{{L}}[0-9]{{1,9}})(?=(?i:{UNITS})(?![^ ]))"
+    return text.withColumn("clean", F.when(some, F.regexp_replace("clean", unit, " ")).otherwise(F.col("clean")))
 
-def template(clean: Column) -> Column:
-    """The tokens with typed placeholders, one for each token of `raw`."""
-    text = F.regexp_replace(F.lower(clean), rf"{MARK}[^ ]+", NAME)
-    text = F.regexp_replace(text, rf"(?<![^ ])[$€£]?[0-9]+[%€£$]?(?![^ ])", NUMBER)
-    text = F.regexp_replace(text, rf"(?<![^ ])[0-9]+(?:{UNITS})(?![^ ])", NUMBER + UNIT)
-    text = F.regexp_replace(text, rf"(?<={NUMBER} )(?:{UNITS})(?![^ ])", UNIT)
-    return F.array_remove(F.split(text, " "), "")
 
+def words_of(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
-def raw(clean: Column) -> Column:
-    """The tokens as they are, lower-cased, without marks."""
-    text = F.replace(F.lower(clean), F.lit(MARK), F.lit(""))
-    return F.array_remove(F.split(text, " "), "")
 
+def with_template(frame: DataFrame, column: str, names: bool = True) -> DataFrame:
+    """Adds the tokens with typed placeholders, one for each token of `raw`; with names=False names are ordinary words."""
+    low = F.lower("clean")
+    out = frame.withColumn("_low", F.regexp_replace(low, rf"{MARK}[^ ]+", NAME) if names else F.regexp_replace(low, MARK, ""))
+    numbers = F.regexp_replace("_low", r"(?<![^ ])[$€£]?[0-9]+[%€£$]?(?![^ ])", NUMBER)
+    units = F.regexp_replace(numbers, rf"(?<={NUMBER} )(?:{UNITS})(?![^ ])", UNIT)
+    out = out.withColumn("_low", F.when(F.col("digits"), units).otherwise(F.col("_low")))
+    return out.withColumn(column, words_of(F.col("_low"))).drop("_low")
 
-def tokenised(frame: DataFrame, *keep: str, with_raw: bool = False) -> DataFrame:
-    """keep, tokens and, if asked for, raw. Each step is a column of its own, so that no step is computed twice."""
-    step = frame.select(*keep, cleaned(F.col("text")).alias("clean"))
-    more = [raw(F.col("clean")).alias("raw")] if with_raw else []
-    return step.select(*keep, template(F.col("clean")).alias("tokens"), *more)
 
+def raw() -> Column:
+    """The tokens of `clean` as they are, lower-cased, without marks."""
+    return words_of(F.replace(F.lower("clean"), F.lit(MARK), F.lit("")))
 
-def window_hashes(tokens: Column) -> Column:
-    """One hash for each window of WINDOW tokens; a shorter text has a single window, the whole of it."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (WINDOW - 1), F.lit(1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, F.lit(WINDOW))))
-    whole = F.array(F.xxhash64(tokens, F.lit("whole")))
-    return F.when(F.size(tokens) >= WINDOW, hashes).when(F.size(tokens) > 0, whole)
 
+def joined(a: Column, b: Column) -> Column:
+    """A hash of two hashes in order."""
+    return F.xxhash64(a, b)
+
+
+def doubled(windows: str, width: int) -> Column:
+    """The hashes of windows of twice the width from those of `width` in a column."""
+    held = F.col(windows)
+    return F.transform(F.slice(held, F.lit(1), F.greatest(F.size(held) - width, F.lit(0))), lambda h, i: joined(h, F.get(held, i + width)))
 
-def is_slot(token: Column) -> Column:
-    return token.isin(NUMBER, NAME, UNIT, NUMBER + UNIT)
 
+def with_windows(frame: DataFrame, widths: list[int]) -> DataFrame:
+    """Adds w1, w2, ..., the hashes of all windows of each width from `tokens`, as far as the widest asked for.
 
-def benchmark_windows(benchmark: DataFrame, least_words: int) -> DataFrame:
-    """item_id, item_pos, hash, n_windows of the windows that hold at least `least_words` words besides slots."""
-    items = tokenised(benchmark.where("item_id is not null"), "item_id")
-    each = items.select("item_id", "tokens", F.posexplode(window_hashes(F.col("tokens"))).alias("item_pos", "hash"))
-    words = F.size(F.filter(F.slice("tokens", F.col("item_pos") + 1, F.lit(WINDOW)), lambda t: ~is_slot(t)))
-    kept = each.where(words >= F.least(F.lit(least_words), F.size("tokens"))).select("item_id", "item_pos", "hash").distinct()
-    n = kept.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    return kept.join(n, "item_id")
+    A window's hash comes from those of its halves; each step is a column of its own, so that none is computed twice.
+    """
+    out = frame.withColumn("w1", F.transform("tokens", lambda t: F.xxhash64(t)))
+    width = 1
+    while width < max(widths, default=1):
+        out = out.withColumn(f"w{2 * width}", doubled(f"w{width}", width))
+        width *= 2
+    return out
+
+
+def dealt_windows(frame: DataFrame, widths: list[int], *keep: str) -> DataFrame:
+    """keep, pos, hash: a row a window; null hashes where a width has no window at a place.
 
+    Windows of all widths that start at a token come from one row; their hashes don't tell the widths apart, nor need to.
+    """
+    held = with_windows(frame, widths).select(*keep, F.arrays_zip(*[f"w{w}" for w in widths]).alias("zipped"))
+    # posexplode() would have its input tested for emptiness first, and so computed twice; empty texts' nulls meet nothing.
+    each = held.select(*keep, F.posexplode_outer("zipped").alias("pos", "w"))
+    hashes = [F.col(f"w.w{w}") for w in widths]
+    return each.select(*keep, "pos", F.stack(F.lit(len(widths)), *hashes).alias("hash"))
 
-def template_leaks(
-    docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, least_words: int = 4
-) -> DataFrame:
+
+def is_slot(token: Column) -> Column:
+    return token.isin(*SLOTS)
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item, item_id, raw, tokens, plain (tokens without names), n, width of each item text that holds any token.
+
+    An item that begins with a capital has two rows: its first word may be a name.
+    """
+    known = benchmark.where("item_id is not null").select("item_id", "text").distinct()
+    rows = with_clean(known).unionByName(with_clean(known, head=True)).select("item_id", "clean", "digits").distinct()
+    made = with_template(with_template(rows.withColumn("raw", raw()), "tokens"), "plain", False).drop("clean", "digits")
+    n = F.size("tokens")
+    width = F.lit(1)
+    for w in reversed(WIDTHS):
+        width = F.when((n >= 3 * w) | ((n >= w) & (n < SHORT)), w).otherwise(width)
+    made = made.where(n > 0).withColumn("n", n).withColumn("width", F.when(n < SHORT, width).otherwise(F.greatest(width, F.lit(4))))
+    return made.withColumn("item", F.xxhash64("item_id", "raw", "tokens"))
+
+
+def benchmark_windows(items: DataFrame, widths: list[int]) -> DataFrame:
+    """item, item_pos, hash: the windows of both ways to read an item, with and without names."""
+    parts = []
+    for w in widths:
+        own = items.where(F.col("width") == w)
+        parts += [dealt_windows(own.select("item", F.col(c).alias("tokens")), [w], "item") for c in ("tokens", "plain")]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.where("hash is not null").select("item", F.col("pos").alias("item_pos"), "hash").distinct()
+
+
+def template_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, key: str = "doc_id") -> DataFrame:
     """A row for each document and benchmark item whose template the document holds.
 
-    doc_id, item_id, start (token of the document where the item would begin, from 0), windows (matched),
+    doc_id (or `key`), item_id, start (token of the document where the item would begin, from 0), windows (matched),
     n_windows, n_slots, n_changed, kind ('verbatim', or 'reparameterised' if a slot's value differs).
 
-    An item counts if at least `coverage` of its windows match along one shift and its slots are filled
-    consistently. Null and empty texts match nothing; documents and items without an id are passed over, since
-    no row could name them; rows that repeat an id are judged together; an empty table on either side gives an
-    empty result; other columns are not read.
+    An item counts if at least `coverage` of its windows, or LONG_RUN of them, are found in order and out of step by
+    at most DRIFT tokens, and each slot value inside them stands for one value of the document. A window that is
+    mostly slots must hold the item's own values. Items of under SHORT tokens must be found whole, word for word.
+    Null and empty texts match nothing, and so do items without a letter or digit; documents and items without an
+    id are passed over, since no row could name them; rows that repeat an id are judged together, one by one where
+    their texts differ; an empty table on either side gives an empty result; other columns are not read.
     """
-    windows = benchmark_windows(benchmark, least_words)
+    items = items_of(benchmark)
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect()) or [max(WIDTHS)]  # four numbers at most
+    windows = benchmark_windows(items, widths)
     if windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
-    rows = docs.where("doc_id is not null").select("doc_id", "text")
-    # posexplode() would have its input tested for emptiness first, and so computed twice; empty texts' nulls meet nothing.
-    dealt = tokenised(rows, "doc_id").select("doc_id", F.posexplode_outer(window_hashes(F.col("tokens"))).alias("doc_pos", "hash"))
-    hits = dealt.join(windows, "hash")
-    shifts = hits.groupBy("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("start")).agg(
-        F.count_distinct("item_pos").alias("windows"), F.first("n_windows").alias("n_windows")
-    )
-    good = shifts.where(F.col("windows") >= F.col("n_windows") * coverage)
-
-    item = tokenised(benchmark.where("item_id is not null"), "item_id", with_raw=True).select("item_id", F.struct("raw", "tokens").alias("i"))
-    named = rows.join(good.select("doc_id").distinct(), "doc_id", "left_semi")
-    doc = tokenised(named, "doc_id", with_raw=True).select("doc_id", F.struct("raw", "tokens").alias("d"))
-    met = good.join(item, "item_id").join(doc, "doc_id")
-    at = F.sequence(F.greatest(F.lit(1), 1 - F.col("start")), F.least(F.size("i.tokens"), F.size("d.tokens") - F.col("start")))
-    pair = F.transform(
-        at,
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), "text")
+    told = with_template(with_clean(rows), "tokens").select("id", F.xxhash64("text").alias("text_id"), "tokens")
+    dealt = dealt_windows(told, widths, "id", "text_id").withColumnRenamed("pos", "doc_pos")
+    hits = dealt.join(windows, "hash").select("id", "text_id", "item", "item_pos", "doc_pos")
+    shifts = hits.groupBy("id", "text_id", "item", (F.col("doc_pos") - F.col("item_pos")).alias("start")).agg(F.collect_set("item_pos").alias("at"))
+    # Two shifts at most DRIFT apart have a band of twice that width in common.
+    bands = F.array(F.floor(F.col("start") / (2 * DRIFT)).cast("double"), F.floor((F.col("start") + DRIFT) / (2 * DRIFT)) + F.lit(0.5))
+    banded = shifts.withColumn("band", F.explode(bands))
+    found = banded.groupBy("id", "text_id", "item", "band").agg(F.collect_list(F.struct(F.size("at").alias("n"), (-F.col("start")).alias("back"), "at")).alias("shifts"))
+    # Every window of the item counts once, at the shift that has most windows.
+    start = F.struct(F.array().cast("array<int>").alias("seen"), F.array().cast("array<struct<item:int,doc:int>>").alias("met"))
+
+    def one_shift(acc: Column, s: Column) -> Column:
+        fresh = F.array_except(s["at"], acc["seen"])
+        pairs = F.transform(fresh, lambda p: F.struct(p.alias("item"), (p - s["back"].cast("int")).alias("doc")))
+        return F.struct(F.concat(acc["seen"], fresh).alias("seen"), F.concat(acc["met"], pairs).alias("met"))
+
+    ranked = found.withColumn("met", F.aggregate(F.reverse(F.array_sort("shifts")), start, one_shift, lambda acc: acc["met"]))
+    head = ranked.withColumn("start", -F.get(F.reverse(F.array_sort("shifts")), F.lit(0))["back"]).drop("shifts", "band")
+    info = items.select("item", "item_id", F.col("n").alias("n_item"), "width", (F.col("n") - F.col("width") + 1).alias("n_windows"), F.struct("raw", "tokens", "plain").alias("i"))
+    enough = F.when(F.col("n_item") < SHORT, F.col("n_windows")).otherwise(F.least(F.col("n_windows") * coverage, F.lit(float(LONG_RUN))))
+    likely = materialise(head.join(info, "item").where(F.size("met") >= enough), docs.sparkSession, "likely-leaks")
+
+    # Slots are compared for the candidates only: their texts are read again, and move only if there are very many.
+    ids = likely.select("id").distinct()
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    named = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    again = with_template(with_clean(named), "tokens").withColumn("raw", raw()).select("id", F.xxhash64("text").alias("text_id"), F.struct("raw", "tokens").alias("d"))
+    again = again.dropDuplicates(["id", "text_id"])
+    met = likely.join(again, ["id", "text_id"])
+    cells = lambda p: F.transform(
+        F.sequence(F.lit(0), F.col("width") - 1),
         lambda k: F.struct(
-            F.get(F.col("i.tokens"), k - 1).alias("want"),
-            F.get(F.col("d.tokens"), k - 1 + F.col("start")).alias("got"),
-            F.get(F.col("i.raw"), k - 1).alias("item"),
-            F.get(F.col("d.raw"), k - 1 + F.col("start")).alias("doc"),
+            F.get(F.col("d.tokens"), p["doc"] + k).alias("type"), F.get(F.col("i.raw"), p["item"] + k).alias("item"), F.get(F.col("d.raw"), p["doc"] + k).alias("doc")
         ),
     )
-    slots = F.filter(pair, lambda p: is_slot(p["want"]) & (p["want"] == p["got"]))
-    filled = met.withColumn("slots", F.array_distinct(F.transform(slots, lambda p: F.struct(p["want"].alias("want"), p["item"].alias("item"), p["doc"].alias("doc")))))
-    one_way = F.array_distinct(F.transform("slots", lambda p: F.struct(p["want"], p["item"])))
-    other_way = F.array_distinct(F.transform("slots", lambda p: F.struct(p["want"], p["doc"])))
-    consistent = filled.where((F.size(one_way) == F.size("slots")) & (F.size(other_way) == F.size("slots")))
-    changed = F.size(F.filter("slots", lambda p: p["item"] != p["doc"]))
-    out = consistent.select("doc_id", "item_id", "start", "windows", "n_windows", F.size("slots").alias("n_slots"), changed.alias("n_changed"))
+    # A window that is mostly slots says something only through its values, and so do short items.
+    words = lambda c: F.size(F.filter(c, lambda x: ~is_slot(x["type"])))
+    same = lambda c: F.forall(c, lambda x: x["item"] == x["doc"])
+    sure = F.filter(F.transform("met", cells), lambda c: ((words(c) >= F.col("width") * LEAST_WORDS) & (F.col("n_item") >= SHORT)) | same(c))
+    held = met.withColumn("cells", sure).where(F.size("cells") >= enough)
+    slots = F.filter(F.flatten("cells"), lambda x: is_slot(x["type"]))
+    filled = held.withColumn("slots", F.array_distinct(slots))
+    values = F.array_distinct(F.transform("slots", lambda x: F.struct(x["type"], x["item"])))
+    changed = F.size(F.filter("slots", lambda x: x["item"] != x["doc"]))
+    out = filled.where(F.size(values) == F.size("slots")).select(
+        "id", "item_id", F.col("start").cast("int").alias("start"), F.size("cells").cast("long").alias("windows"), F.col("n_windows").cast("long").alias("n_windows"), F.size("slots").alias("n_slots"), changed.alias("n_changed")
+    )
     best = F.max_by(F.struct("start", "windows", "n_windows", "n_slots", "n_changed"), F.struct("windows", -F.col("n_changed"), -F.col("start")))
     return (
-        out.groupBy("doc_id", "item_id")
+        out.groupBy("id", "item_id")
         .agg(best.alias("b"))
-        .select("doc_id", "item_id", "b.*", F.when(F.col("b.n_changed") > 0, "reparameterised").otherwise("verbatim").alias("kind"))
+        .select(F.col("id").alias(key), "item_id", "b.*", F.when(F.col("b.n_changed") > 0, "reparameterised").otherwise("verbatim").alias("kind"))
     )
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns; rows without id stay."""
-    leaks = template_leaks(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that hold no benchmark item, with all their columns. Each row is judged by its own text, with or without an id."""
+    name = "_text_id"
+    while name in docs.columns:
+        name += "_"
+    marked = docs.withColumn(name, F.xxhash64("text"))
+    leaks = template_leaks(marked.select(name, "text"), benchmark, key=name).select(name).distinct()
+    return marked.join(leaks, name, "left_anti").select(*docs.columns)
