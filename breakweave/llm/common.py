@@ -55,7 +55,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
 
 
-def hot_join(frame: DataFrame, keyed: DataFrame, key: str, how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+def hot_join(frame: DataFrame, keyed: DataFrame, key: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """Join with a table of one short row a key, where one key may have a large share of `frame`'s rows.
 
     Up to `limit` rows the table is broadcast; a larger one is joined with each key dealt over `salts` tasks.
@@ -64,7 +64,7 @@ def hot_join(frame: DataFrame, keyed: DataFrame, key: str, how: str = "inner", l
         return frame.join(F.broadcast(keyed), key, how)
     left = frame.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*key, "_salt"], how).drop("_salt")
 
 
 def materialise(frame: DataFrame, spark: SparkSession, tag: str, *partition_by: str) -> DataFrame:

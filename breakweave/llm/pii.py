@@ -1,10 +1,12 @@
 """Personal data by fixed patterns and bootstrapped contexts, in DataFrame operations only.
 
-Spans of e-mail addresses, IP addresses, card and phone numbers are the seed entities. Every token that looks like
-an identifier (it holds a digit or an @) is an instance; the word before it, or the word after it, together with
-its shape is a lexical pattern. Patterns and instances form a graph that is scored in rounds: a pattern is as good
-as the share of its distinct instances that are trusted, an instance as its best pattern. Tokens without a fixed
-pattern that stand in a high-confidence pattern are the identifiers that the contexts discover.
+Spans of e-mail addresses, IP addresses, card and phone numbers, and keys (long hexadecimal strings), are the seed
+entities. Every other token that holds a digit or an @ is an instance that may be one. The words around an entity or
+instance are its lexical patterns: the word or two before it, the word after it, the words on both sides. Patterns
+and instances form a graph that is scored in rounds. A pattern is as good for a kind as the share of trusted ones
+among its distinct instances that could be of that kind; an instance is as good as its best pattern; instances that
+good patterns reach are trusted in the next round and found patterns of their own. Tokens that stand in a
+high-confidence pattern in the end are the identifiers that the contexts discover.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from breakweave.llm.common import ensure_checkpoint_dir, materialise
+from breakweave.llm.common import hot_join, materialise
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of discovered spans: those, and keys, which have seeds but no fixed pattern of their own.
+FOUND_KINDS = (*KINDS, "secret")
+SEED_SECRET = r"^(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}$"
 LOCAL = r"[A-Za-z0-9._%+-]"
 #: The patterns, with possessive repeats and a check that a match begins where a run begins (or where the match
 #: before it ended): the same matches as the plain patterns', in linear time on long runs.
@@ -30,44 +35,52 @@ BYTE_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A word with a digit or an @.
 TOKEN = r"(?<!\S)(?=[^\s0-9@]*[0-9@])\S+"
 SPAN = "array<struct<start:int,end:int,token:string>>"
-INSTANCE = "array<struct<start:int,end:int,token:string,before:string,after:string>>"
+INSTANCE = "array<struct<start:int,end:int,token:string,before:string,wide:string,after:string>>"
+#: Matches that are put together before they join the list of a text, so that long lists are not copied match by match.
+BLOCK = 256
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Start, end and text of all matches, in code points: what stands between the matches tells where they are."""
-    between = F.transform(F.split(text, pattern, -1), lambda piece: F.length(piece))
-    steps = F.arrays_zip(between.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("token"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+def in_blocks(steps: Column, kind: str, one: Callable[[Column, Column, Column], Column]) -> Column:
+    """The list that `one` (step, start, end) makes of steps (gap, token, ...), whose starts are sums of what stands before.
+
+    Steps are taken in blocks of BLOCK: a block's list is short, and the whole list is put together once a block.
+    """
+    n = F.size(steps)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest((n - 1) / BLOCK, F.lit(0)).cast("int")), lambda k: F.slice(steps, k * BLOCK + 1, F.lit(BLOCK)))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + F.coalesce(F.length(x["token"]), F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["token"].alias("token")))
-        return F.struct(end.alias("at"), F.when(x["token"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+        return F.struct(end.alias("at"), F.when(x["token"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one(x, begin, end)))).alias("out"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    def block(acc: Column, part: Column) -> Column:
+        made = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), step)
+        return F.struct(made["at"].alias("at"), F.concat(acc["out"], made["out"]).alias("out"))
+
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), block, lambda acc: acc["out"])
+
+
+def located(text: Column, pattern: str) -> Column:
+    """Start, end and text of all matches, in code points: what stands between the matches tells where they are."""
+    between = F.transform(F.split(text, pattern, -1), lambda piece: F.length(piece))
+    steps = F.arrays_zip(between.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("token"))
+    return in_blocks(steps, SPAN, lambda x, begin, end: F.struct(begin.alias("start"), end.alias("end"), x["token"].alias("token")))
 
 
 def instances(text: Column) -> Column:
-    """The identifier-like tokens with the words around them."""
+    """The identifier-like tokens with the word and the two words before them and the word after them, lower-cased."""
     pieces = F.split(text, TOKEN, -1)
-    around = F.transform(
-        pieces,
-        lambda p: F.struct(F.length(p).alias("gap"), F.regexp_extract(p, r"(\S+)\s+$", 1).alias("before"), F.regexp_extract(p, r"^\s+(\S+)", 1).alias("after")),
-    )
-    after = F.slice(F.transform(pieces, lambda p: F.regexp_extract(p, r"^\s+(\S+)", 1)), 2, 1 << 30)
-    steps = F.arrays_zip(around.alias("p"), F.regexp_extract_all(text, F.lit(TOKEN), 0).alias("token"), after.alias("after"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(INSTANCE).alias("out"))
+    last = r"(?<!\S)(\S++)\s++$"
+    gaps = F.transform(pieces, lambda p: F.length(p))
+    before = F.transform(pieces, lambda p: F.lower(F.regexp_extract(p, last, 1)))
+    wide = F.transform(pieces, lambda p: F.lower(F.regexp_extract(p, r"(?<!\S)\S++\s++\S++(?=\s++$)", 0)))
+    after = F.slice(F.transform(pieces, lambda p: F.lower(F.regexp_extract(p, r"^\s++(\S++)", 1))), 2, 1 << 30)
+    steps = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(TOKEN), 0).alias("token"), before.alias("before"), wide.alias("wide"), after.alias("after"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["p"]["gap"]
-        end = begin + F.coalesce(F.length(x["token"]), F.lit(0))
-        one = F.array(
-            F.struct(begin.alias("start"), end.alias("end"), x["token"].alias("token"), x["p"]["before"].alias("before"), x["after"].alias("after"))
-        )
-        return F.struct(end.alias("at"), F.when(x["token"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+    def one(x: Column, begin: Column, end: Column) -> Column:
+        return F.struct(begin.alias("start"), end.alias("end"), x["token"].alias("token"), x["before"].alias("before"), x["wide"].alias("wide"), x["after"].alias("after"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return in_blocks(steps, INSTANCE, one)
 
 
 def digits(token: Column) -> Column:
@@ -110,65 +123,109 @@ def scanned(docs: DataFrame) -> DataFrame:
     return found.withColumn("row", F.monotonically_increasing_id())
 
 
+def could_be(token: Column) -> Column:
+    """The kinds that an instance's characters allow; None of them for ordinary numbers."""
+    n, letters = F.length(digits(token)), F.length(F.regexp_replace(token, r"[^\p{L}]", ""))
+    marked = token.rlike(r"@|\[at\]|\(at\)")
+    numeric = letters == 0
+    tests = [
+        ("email", marked & (letters > 0)),
+        ("ip", numeric & token.rlike(r"^[0-9]+(?:[.:,][0-9]+){3,}$")),
+        ("card", numeric & n.between(12, 19)),
+        ("phone", numeric & n.between(6, 15) & ~token.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")),
+        ("secret", ~marked & (letters > 0) & (n > 0) & (F.length(token) >= 12)),
+    ]
+    return F.filter(F.array(*[F.when(test, F.lit(kind)) for kind, test in tests]), lambda k: k.isNotNull())
+
+
 def occurrences(rows: DataFrame) -> DataFrame:
-    """A row for each token and pattern: row, start, end, token, pattern, kind (of the seed that it overlaps)."""
+    """A row for each instance and pattern: row, start, end, token, kind (of the seed that it is), kinds (it could be), pattern.
+
+    A seed of several tokens is one instance, with the words before its first and after its last token. Around other
+    tokens quotes and marks are cut off. Missing neighbours make no pattern.
+    """
     each = rows.where(F.size("tokens") > 0).select("row", *KINDS, F.explode("tokens").alias("t"))
-    touched = [F.when(F.exists(k, lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))), F.lit(k)) for k in KINDS]
-    shape = F.regexp_replace(F.regexp_replace(F.col("t.token"), r"[0-9]+", "9"), r"\p{L}+", "a")
-    # Shapes of odd tokens are cut at 24 characters: a pattern is a short description, the token itself is kept whole.
-    shape = F.substring(shape, 1, 24)
+    hits = F.concat(*[F.transform(F.filter(k, lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))), seeded(k)) for k in KINDS])
+    each = each.select("row", "t", F.get(hits, F.lit(0)).alias("seed"))
+    head = F.length(F.regexp_extract("t.token", r"^[^\p{L}\p{N}+(@]*", 0))
+    bare = F.regexp_replace("t.token", r"^[^\p{L}\p{N}+(@]+|[^\p{L}\p{N})]+$", "")
+    each = each.withColumn("bare", bare).withColumn("head", head).where("seed is not null or bare <> ''")
+    own = F.when(F.col("bare").rlike(SEED_SECRET), F.lit("secret"))
+    first, final = F.col("seed").isNull() | (F.col("t.start") <= F.col("seed.start")), F.col("seed").isNull() | (F.col("t.end") >= F.col("seed.end"))
+    pattern = lambda tag, *words: F.when(F.forall(F.array(*words), lambda w: w != ""), F.concat_ws(" ", F.lit(tag), *words))
     patterns = F.array(
-        F.concat(F.lit("before "), F.lower("t.before"), F.lit(" "), shape), F.concat(F.lit("after "), F.lower("t.after"), F.lit(" "), shape)
+        F.when(first, pattern("before", F.col("t.before"))),
+        F.when(first, pattern("before2", F.col("t.wide"))),
+        F.when(final, pattern("after", F.col("t.after"))),
+        F.when(first & final, pattern("around", F.col("t.before"), F.col("t.after"))),
     )
-    return each.select(
-        "row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.lower("t.token").alias("token"), F.coalesce(*touched).alias("kind"), F.explode(patterns).alias("pattern")
+    known = each.select(
+        "row",
+        F.coalesce(F.col("seed.start"), F.col("t.start") + F.col("head")).alias("start"),
+        F.coalesce(F.col("seed.end"), F.col("t.start") + F.col("head") + F.length("bare")).alias("end"),
+        F.lower(F.coalesce("seed.token", "bare")).alias("token"),
+        F.coalesce("seed.kind", own).alias("kind"),
+        F.col("seed").isNotNull().alias("base"),
+        F.when(F.coalesce("seed.kind", own).isNull(), could_be(F.col("bare"))).alias("kinds"),
+        F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"),
     )
+    return known.where("kind is not null or size(kinds) > 0").select("*", F.explode_outer("patterns").alias("pattern")).drop("patterns")
+
+
+def seeded(kind: str) -> Callable[[Column], Column]:
+    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"))
 
 
 def good_patterns(seen: DataFrame, rounds: int, least: float, support: int) -> DataFrame:
-    """pattern, kind: patterns of high confidence, with the kind that most of their seeds have.
+    """pattern, kind, score: patterns of high confidence, once for each kind that they are good for.
 
-    Counts are over distinct instances, aggregated before the shuffle; the graph is joined once a round.
+    Counts are over distinct instances, aggregated before the shuffle. In a round a pattern's score for a kind is the
+    sum of its instances' trust over their number, if at least `support` of them are trusted. What it reaches has its
+    score as trust from then on, so that instances found in one round found patterns in the next.
     """
     spark = seen.sparkSession
-    edges = seen.groupBy("pattern", "token").agg(F.max("kind").alias("kind"))
-    edges = materialise(edges, spark, "pii-graph")
-    trusted = edges.where("kind is not null").select("token").distinct().withColumn("trust", F.lit(1.0))
+    kinds = F.when(F.col("kind").isNotNull(), F.array("kind")).otherwise(F.col("kinds"))
+    each = seen.where("pattern is not null").select("pattern", "token", F.explode(kinds).alias("kind"), F.col("kind").isNotNull().cast("double").alias("seed"))
+    edges = materialise(each.groupBy("pattern", "token", "kind").agg(F.max("seed").alias("seed")), spark, "pii-graph")
+    trusted = edges.where("seed > 0").select("token", "kind", "seed").distinct().withColumnRenamed("seed", "trust")
     for k in range(rounds):
         scored = (
-            edges.join(trusted, "token", "left")
-            .groupBy("pattern")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("trust", F.lit(0.0))).alias("s"), F.count_if(F.col("kind").isNotNull()).alias("seeds"), F.mode("kind", True).alias("kind"))
-            .where((F.col("seeds") >= support) & (F.col("s") >= least * F.col("n")))
-            .select("pattern", (F.col("s") / F.col("n")).alias("score"), "kind")
+            edges.join(trusted, ["token", "kind"], "left")
+            .withColumn("trust", F.coalesce("trust", F.lit(0.0)))
+            .groupBy("pattern", "kind")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("trust").alias("s"), F.count_if(F.col("trust") >= least).alias("sure"))
+            .where((F.col("sure") >= support) & (F.col("s") >= least * F.col("n")))
+            .select("pattern", "kind", (F.col("s") / F.col("n")).alias("score"))
         )
+        scored = materialise(scored, spark, "pii-patterns")
         if k + 1 < rounds:
-            reached = edges.join(scored.select("pattern", "score"), "pattern").groupBy("token").agg(F.max("score").alias("trust"))
-            seeds = edges.where("kind is not null").select("token").distinct().withColumn("trust", F.lit(1.0))
-            trusted = reached.unionByName(seeds).groupBy("token").agg(F.max("trust").alias("trust")).checkpoint()
-    return scored.select("pattern", "kind")
+            reached = hot_join(edges.select("pattern", "token", "kind"), scored, ["pattern", "kind"]).groupBy("token", "kind").agg(F.max("score").alias("trust"))
+            seeds = edges.where("seed > 0").select("token", "kind", F.col("seed").alias("trust"))
+            trusted = materialise(reached.unionByName(seeds).groupBy("token", "kind").agg(F.max("trust").alias("trust")), spark, "pii-trust")
+    return scored
 
 
 def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def find_private(docs: DataFrame, rounds: int = 3, least: float = 0.8, support: int = 3) -> DataFrame:
+def find_private(docs: DataFrame, rounds: int = 3, least: float = 0.5, support: int = 3) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found for every document.
 
-    Base spans are the patterns' matches; discovered spans are added under the kind of their pattern's seeds and
-    never overlap base ones. Null and empty texts have no spans; rows with repeated or null ids stay apart; an
+    Base spans are the patterns' matches; discovered spans are added under the kind that their pattern is good for
+    (keys as `secret`) and never overlap base ones. n_found counts them. Null and empty texts have no spans; rows with repeated or null ids stay apart; an
     empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     rows = materialise(scanned(docs), spark, "pii-spans")
-    ensure_checkpoint_dir(spark)
     seen = occurrences(rows)
     good = good_patterns(seen, rounds, least, support)
-    order = F.array(*map(F.lit, KINDS))
-    fresh = seen.where("kind is null").drop("kind").join(good, "pattern")
-    # A token's kind is the first by order if its two patterns differ; a row's tokens bound the list.
-    fresh = fresh.groupBy("row", "start", "end").agg(F.min(F.array_position(order, F.col("kind")).cast("int")).alias("k"))
+    order = F.array(*map(F.lit, FOUND_KINDS))
+    may = seen.where("not base and pattern is not null").withColumn("kind", F.explode(F.when(F.col("kind").isNotNull(), F.array("kind")).otherwise(F.col("kinds"))))
+    fresh = hot_join(may, good, ["pattern", "kind"])
+    # A token's kind is that of its best pattern, the first by order if several are as good; a row's tokens bound the list.
+    place = F.struct(F.col("score"), -F.array_position(order, F.col("kind")).cast("int"))
+    fresh = fresh.groupBy("row", "start", "end").agg((-F.max(place)["col2"]).alias("k"))
     found = fresh.groupBy("row").agg(F.collect_list(F.struct("k", "start", "end")).alias("found"))
     base = F.concat(*[F.transform(k, numbered(n)) for n, k in enumerate(KINDS, 1)])
     named = lambda spans: joined_spans(F.transform(spans, lambda s: F.struct(F.get(order, s["k"] - 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
