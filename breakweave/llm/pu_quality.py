@@ -1,32 +1,41 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are rows labelled good in the training folds; unlabelled text is a sample of all training-fold
-documents. A first classifier of positives against unlabelled text gives the class prior (the least ratio of
-unlabelled to positive mass above a score); the model then minimises the non-negative unbiased risk
+Trusted positives are rows labelled good in the training folds; unlabelled text is every document of those folds.
+A first classifier of positives against unlabelled text gives the class prior (the least ratio of unlabelled to
+positive mass above a score); the model then minimises the non-negative unbiased risk
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)).
-Fitting sees two samples of at most SAMPLE rows, the documented bound; scoring covers every document.
+
+Features of all documents are written once. The unlabelled rows are dealt to parts by a hash; in a round each part
+takes small steps through its rows from the common model, and the parts' models are averaged by their sizes, so that
+every row takes part in every round whatever the corpus's size. Only the labelled positives are a bounded sample.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from breakweave.llm.common import bounded_batches
+from breakweave.llm.common import bounded_batches, materialise
 
-#: Rows of each of the two samples that fitting uses at most.
+#: Labelled rows that fitting uses at most, those with the least hashes; unlabelled rows are all used.
 SAMPLE = 8000
 HIDDEN = 16
-EPOCHS = 40
 BATCH = 1024
-#: Steps of gradient descent at least, for small samples.
-LEAST_STEPS = 300
+#: Rounds over all rows for the prior's classifier and for the model, and steps of a part in a round at least.
+PRIOR_ROUNDS, ROUNDS, LEAST_STEPS = 6, 12, 25
+#: Unlabelled rows of a part, about.
+PART_ROWS = 20_000
+#: Partial sums that reach the driver at most.
+SUMS = 16
+#: Bins of the scores' histogram, on the logit scale from -30 to 30.
+BINS = 1200
 SEED = 4
 #: Bytes that are no marks: letters, digits, white space, full stop and comma, and all of non-ASCII letters.
 PLAIN = bytes(b for b in range(256) if b > 127 or chr(b).isalnum() or chr(b) in " \t\r\n.,")
@@ -109,124 +118,196 @@ class Net:
             self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
 
 
-def batches(n: int, rng: np.random.Generator, count: int) -> Iterator[np.ndarray]:
-    order = np.concatenate([rng.permutation(n) for _ in range(-(-count * BATCH // n))])
-    for k in range(count):
-        yield order[k * BATCH : (k + 1) * BATCH]
-
-
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, rng: np.random.Generator) -> float:
-    """The share of positives in unlabelled text, from scores of rows that the first classifier has not seen."""
-    mean, scale = moments(positive, unlabelled)
-    net = Net(mean, scale, rng)
-    half_p, half_u = len(positive) // 2, len(unlabelled) // 2
-    rounds = max(LEAST_STEPS, EPOCHS // 2 * max(half_p, half_u) // BATCH)
-    for a, b in zip(batches(half_p, rng, rounds), batches(half_u, rng, rounds), strict=True):
-        x, h, z = net.forward(np.concatenate([positive[a], unlabelled[b]]))
-        y = np.concatenate([np.ones(len(a)), np.zeros(len(b))])
-        net.step(x, h, (sigmoid(z) - y) * np.where(y == 1, 0.5 / len(a), 0.5 / len(b)))
-    p, u = np.sort(net.score(positive[half_p:])), np.sort(net.score(unlabelled[half_u:]))
-    above_p = 1 - np.searchsorted(p, p) / len(p)
-    above_u = 1 - np.searchsorted(u, p) / len(u)
-    # Small tails say little: the bound allows for the spread of both shares.
-    slack = np.sqrt(math.log(20) / 2) * (1 / math.sqrt(len(u)) + 1 / math.sqrt(len(p)))
-    best = np.argmin((above_u + slack) / above_p)
-    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.98))
-
-
-def moments(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.concatenate(parts)
-    return x.mean(0), x.std(0) + 1e-3
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> tuple[Net, float]:
-    """The model and the class prior that it was fitted with."""
-    rng = np.random.Generator(np.random.PCG64(SEED))
-    prior = estimate_prior(positive, unlabelled, rng) if prior is None else prior
-    net = Net(*moments(positive, unlabelled), rng)
-    rounds = max(LEAST_STEPS, EPOCHS * max(len(positive), len(unlabelled)) // BATCH)
-    for a, b in zip(batches(len(positive), rng, rounds), batches(len(unlabelled), rng, rounds), strict=True):
-        x, h, z = net.forward(np.concatenate([positive[a], unlabelled[b]]))
-        s, k = sigmoid(z), len(a)
-        # Sigmoid loss: l(z, +1) = 1 - s, l(z, -1) = s, with slope s (1 - s).
-        slope = s * (1 - s)
-        negative = s[k:].mean() - prior * s[:k].mean()
-        grad = np.zeros_like(z)
-        if negative >= 0:
-            grad[:k] = -prior * slope[:k] / k - prior * slope[:k] / k
-            grad[k:] = slope[k:] / (len(z) - k)
-        else:  # the negative part is over-fitted: step back along it
-            grad[:k] = prior * slope[:k] / k
-            grad[k:] = -slope[k:] / (len(z) - k)
-        net.step(x, h, grad)
-    return net, prior
-
-
-def featured(rows: DataFrame) -> DataFrame:
+    def params(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.p])
+
+    def with_params(self, flat: np.ndarray) -> Net:
+        """A net of the same shape and standardisation with these parameters."""
+        new = Net(self.mean, self.scale, np.random.default_rng(0))
+        cuts = np.cumsum([x.size for x in self.p])[:-1]
+        new.p = [part.reshape(x.shape).copy() for part, x in zip(np.split(flat, cuts), self.p, strict=True)]
+        return new
+
+
+def walk(net: Net, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, rng: np.random.Generator) -> None:
+    """Small steps through all rows of `unlabelled`, at least LEAST_STEPS; without a prior the two are simply told apart."""
+    some = len(unlabelled)
+    for _ in range(-(-LEAST_STEPS // max(1, -(-some // BATCH)))):
+        order = rng.permutation(some)
+        for at in range(0, some, BATCH):
+            u, p = unlabelled[order[at : at + BATCH]], positive[rng.integers(0, len(positive), min(BATCH, 4 * len(positive)))]
+            k = len(p)
+            x, h, z = net.forward(np.concatenate([p, u]).astype(np.float64))
+            s = sigmoid(z)
+            grad = np.zeros_like(z)
+            if prior is None:
+                grad[:k], grad[k:] = (s[:k] - 1) * 0.5 / k, s[k:] * 0.5 / len(u)
+            else:
+                # Sigmoid loss: l(z, +1) = 1 - s, l(z, -1) = s, with slope s (1 - s).
+                slope = s * (1 - s)
+                if s[k:].mean() - prior * s[:k].mean() >= 0:
+                    grad[:k], grad[k:] = -2 * prior * slope[:k] / k, slope[k:] / len(u)
+                else:  # the negative part is over-fitted: step back along it
+                    grad[:k], grad[k:] = prior * slope[:k] / k, -slope[k:] / len(u)
+            net.step(x, h, grad)
+
+
+def featured(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep and f, the features as 16-bit floats."""
+
     def made(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            blobs = [features(text).tobytes() for text in batch.column("text").to_pylist()]
-            yield pa.record_batch({"f": pa.array(blobs, pa.binary())})
+            blobs = [features(text).astype(np.float16).tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.record_batch({k: batch.column(k) for k in keep} | {"f": pa.array(blobs, pa.binary())})
+
+    kept = rows.select(*keep)
+    return rows.select(*keep, "text").mapInArrow(made, T.StructType([*kept.schema.fields, T.StructField("f", T.BinaryType())]))
+
+
+def matrix(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.float16).reshape(-1, N_FEATURES).astype(np.float32)
+
+
+def summed(vectors: DataFrame) -> np.ndarray:
+    """The sum of the vectors v (64-bit floats) of rows (part, v), in an order that the parts fix; a few rows reach the driver."""
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in it:
+            for blob in batch.column("v").to_pylist():
+                v = np.frombuffer(blob)
+                total = v.copy() if total is None else total + v
+        if total is not None:
+            yield pa.record_batch({"v": pa.array([total.tobytes()], pa.binary())})
+
+    few = vectors.withColumn("lot", (F.col("part") % SUMS).cast("int")).repartition(SUMS, "lot").sortWithinPartitions("lot", "part", "v")
+    partial = sorted(r["v"] for r in few.mapInArrow(add, "v binary").collect())
+    return np.sum([np.frombuffer(v) for v in partial], axis=0)
 
-    return rows.select("text").mapInArrow(made, "f binary")
 
+def by_part(dealt: DataFrame, work: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
+    """part, v: what `work` makes of each part's rows. A part lies in one file, so its rows come in one piece."""
 
-def sampled_ids(ids: DataFrame, salt: str, size: int) -> DataFrame:
-    """At most `size` ids, those with the least hashes."""
-    return ids.distinct().orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id").limit(size)
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
 
+        def close() -> pa.RecordBatch:
+            v = work(part, matrix(held)).astype(np.float64)
+            return pa.record_batch({"part": pa.array([part], pa.int64()), "v": pa.array([v.tobytes()], pa.binary())})
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Net | None, float]:
-    """Fit on rows of folds 0 and 2; None if there are too few positives or documents to fit anything."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        for batch in it:
+            numbers, blobs = batch.column("part").to_numpy(), batch.column("f").to_pylist()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and numbers[a] != part:
+                    yield close()
+                    held = []
+                part = int(numbers[a])
+                held += blobs[a:b]
+        if held:
+            yield close()
+
+    return dealt.select("part", "f").mapInArrow(each, "part long, v binary")
+
+
+def fit(positive: np.ndarray, dealt: DataFrame, mean: np.ndarray, scale: np.ndarray, rounds: int, prior: float | None) -> Net:
+    """The average of the parts' models after each round, over all unlabelled rows (part, f)."""
+    net = Net(mean, scale, np.random.Generator(np.random.PCG64(SEED)))
+    for k in range(rounds):
+
+        def step(part: int, rows: np.ndarray, k: int = k, start: Net = net) -> np.ndarray:
+            own = start.with_params(start.params())
+            walk(own, positive, rows, prior, np.random.Generator(np.random.PCG64([SEED, k, part])))
+            return np.append(own.params(), 1.0) * len(rows)
+
+        total = summed(by_part(dealt, step))
+        net = net.with_params(total[:-1] / total[-1])
+    return net
+
+
+def estimate_prior(net: Net, positive: np.ndarray, dealt: DataFrame) -> float:
+    """The share of positives in unlabelled text, from the scores of rows that the net has not seen."""
+    edges = np.linspace(-30, 30, BINS + 1)
+    bins = lambda x: np.bincount(np.clip(np.searchsorted(edges, net.forward(x.astype(np.float64))[2]) - 1, 0, BINS - 1), minlength=BINS)
+    u, p = summed(by_part(dealt, lambda _, x: bins(x))), bins(positive)
+    above_u, above_p = u[::-1].cumsum()[::-1] / u.sum(), p[::-1].cumsum()[::-1] / p.sum()
+    # Small tails say little: the bound allows for the spread of both shares.
+    slack = np.sqrt(math.log(20) / 2) * (1 / math.sqrt(u.sum()) + 1 / math.sqrt(p.sum()))
+    some = above_p > 0
+    best = np.argmin((above_u[some] + slack) / above_p[some])
+    return float(np.clip(above_u[some][best] / above_p[some][best], 0.05, 0.98))
+
+
+def train(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Net | None, float]:
+    """Fit on the rows (doc_id, f) of folds 0 and 2; None if there is no labelled positive or no document among them."""
+    spark = feats.sparkSession
     inside = remainder(F.col("doc_id")) != 1
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).where(inside)
-    found = []
-    for ids, salt in ((good, "positive"), (rows.select("doc_id").where(inside), "unlabelled")):
-        chosen = sampled_ids(ids.join(rows.select("doc_id"), "doc_id", "left_semi") if salt == "positive" else ids, salt, sample)
-        # At most `sample` ids are broadcast; the rows that come back are one a chosen id, or more if ids repeat.
-        kept = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-        blobs = featured(kept).toArrow().column("f").to_pylist()
-        x = np.frombuffer(b"".join(blobs), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
-        found.append(x[np.lexsort(x[:, ::-1].T)])
-    if min(map(len, found)) < 20:
+    ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).where(inside).distinct()
+    chosen = feats.select("doc_id").join(ids, "doc_id", "left_semi").distinct().orderBy(F.xxhash64(F.lit("positive"), "doc_id"), "doc_id").limit(sample)
+    # At most `sample` ids are broadcast; the rows that come back are one a chosen id.
+    blobs = feats.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("f").toArrow().column("f").to_pylist()
+    positive = matrix(sorted(blobs))
+    rows = feats.where(inside)
+    n = rows.count()
+    if not len(positive) or not n:
         return None, float("nan")
-    return fit(*found)
+    parts = -(-n // PART_ROWS)
+    # Each part is two: one half fits the prior's classifier, the other is scored by it.
+    number = F.pmod(F.xxhash64(F.lit("part"), "doc_id", "f"), F.lit(2 * parts)).cast("int")
+    dealt = rows.select(number.alias("part"), "f").repartitionById(2 * parts, F.col("part")).sortWithinPartitions("part", "f")
+    dealt = materialise(dealt, spark, "quality-parts")
+    moments = summed(by_part(dealt, lambda _, x: np.concatenate([[len(x)], x.sum(0, np.float64), (x.astype(np.float64) ** 2).sum(0)])))
+    mean = moments[1 : 1 + N_FEATURES] / moments[0]
+    scale = np.sqrt(np.maximum(moments[1 + N_FEATURES :] / moments[0] - mean**2, 0)) + 1e-3
+    one, other = (positive[0::2], positive[1::2]) if len(positive) > 1 else (positive, positive)
+    seen, unseen = (dealt.where("part % 2 = 0"), dealt.where("part % 2 = 1")) if n > 1 else (dealt, dealt)
+    if not (seen.limit(1).count() and unseen.limit(1).count()):
+        seen = unseen = dealt
+    prior = estimate_prior(fit(one, seen, mean, scale, PRIOR_ROUNDS, None), other, unseen)
+    return fit(positive, dealt, mean, scale, ROUNDS, prior), prior
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
     Null and empty texts are scored on zero features. Null ids count as fold 0. Repeated ids are scored row by
-    row; labels of unknown documents and null labels teach nothing. With under 20 trusted positives no model is
-    fitted and every score is 1: nothing speaks against a text. An empty table gives an empty result; other
+    row; labels of unknown documents and null labels teach nothing. Without any trusted positive nothing can be
+    learnt and every score is 1: nothing speaks against a text. An empty table gives an empty result; other
     columns, labels, lang and source are not inputs.
     """
     bounded_batches(docs.sparkSession)
-    net, _ = train(docs, labels, sample)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    feats = materialise(featured(rows, "doc_id"), docs.sparkSession, "quality-features")
+    net, _ = train(feats, labels, sample)
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            texts = batch.column("text").to_pylist()
-            x = np.stack([features(text) for text in texts]).astype(np.float64) if texts else np.zeros((0, N_FEATURES))
+            x = matrix(batch.column("f").to_pylist()).astype(np.float64)
             s = net.score(x) if net else np.ones(len(x))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(s, pa.float64())})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = rows.mapInArrow(scored, "doc_id long, score double")
+    out = feats.mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns; one map after fitting."""
+    """The documents that the classifier does not reject, with all their columns; one map after fitting.
+
+    Nulls, repeats and small tables as in score_quality: each row is judged by its own text, and without any trusted
+    positive all rows stay.
+    """
     bounded_batches(docs.sparkSession)
-    net, _ = train(docs, labels, sample)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    inside = remainder(F.col("doc_id")) != 1
+    net, _ = train(materialise(featured(rows.where(inside), "doc_id"), docs.sparkSession, "quality-features"), labels, sample)
 
     def kept(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if net and len(batch):
-                x = np.stack([features(text) for text in batch.column("text").to_pylist()]).astype(np.float64)
-                batch = batch.filter(pa.array(net.score(x) >= 0.5))
+                x = matrix([features(text).astype(np.float16).tobytes() for text in batch.column("text").to_pylist()])
+                batch = batch.filter(pa.array(net.score(x.astype(np.float64)) >= 0.5))
             yield batch
 
     return docs.mapInArrow(kept, docs.schema)
