@@ -1,6 +1,6 @@
 """Token-ID files: flat unsigned integers plus 64-bit document offsets, memory-mapped.
 
-Documents are dealt to parts by ranges of doc_id. A task encodes one part in doc_id order and writes three
+Documents are dealt to parts of about equal bytes by ranges of doc_id. A task encodes one part in doc_id order and writes three
 files: `ids` (the narrowest unsigned type that holds the vocabulary), `offsets` (unsigned 64-bit, within the
 part) and `docs` (doc_id, signed 64-bit). The parts' sizes, one number each, are summed up to the base of each part.
 """
@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breakweave.llm.common import bounded_batches, materialise, read_only, shared_dir, write_whole
@@ -32,6 +32,8 @@ ROW = 1000
 MARKS = ".,!%*&$#|:;?"
 #: Input bytes that one part takes, about; parts are tasks, so this bounds what a task encodes.
 PART_BYTES = 24 << 20
+#: Ranges of ids whose bytes are counted, for each part.
+FINE = 4
 #: doc_id stored for a row whose doc_id is null.
 NO_ID = -(1 << 63)
 
@@ -144,22 +146,55 @@ def id_type(vocabulary: str, end: int) -> str:
     return "<u2" if max(Tokenizer.from_file(vocabulary).get_vocab_size() - 1, end) < 1 << 16 else "<u4"
 
 
-def dealt_by_id(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows with a part number that rises with doc_id; the bounds come from the ids alone.
+def among_edges(edges: list[int], value: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """How many of the ascending edges are at most `value`, in two steps of about the square root of their number each.
 
-    Null ids go to part 0. The bounds are approximate quantiles over all ids: `parts` numbers on the driver.
+    The first result is a column to be kept by its own name, which the second turns into the number.
     """
-    bounds = docs.select("doc_id").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    edges = sorted({int(b) for b in bounds})
-    if not edges:
-        return docs.withColumn("part", F.lit(0))
-    # Two steps of about the square root of the number of parts each: first among every step-th edge, then between two.
     step = max(1, round(len(edges) ** 0.5))
     array = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    below = lambda values: F.size(F.filter(values, lambda edge: edge <= F.col("doc_id")))
+    below = lambda values: F.size(F.filter(values, lambda edge: edge <= value))
     coarse = F.greatest(below(array(edges[::step])) - 1, F.lit(0)) * step
-    fine = F.slice(array(edges), coarse + 1, F.lit(step))
-    return docs.withColumn("_from", coarse).withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("_from") + below(fine))).drop("_from")
+    return coarse, lambda kept: kept + below(F.slice(array(edges), kept + 1, F.lit(step)))
+
+
+def ranged(docs: DataFrame, edges: list[int]) -> DataFrame:
+    """Adds range: 0 for null ids, then a number that rises with doc_id."""
+    if not edges:
+        return docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(1))
+    coarse, number = among_edges(edges, F.col("doc_id"))
+    return docs.withColumn("_from", coarse).withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(1 + number(F.col("_from")))).drop("_from")
+
+
+def dealt_by_id(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """Rows with a part number that rises with doc_id, and the number of parts; each part has about as many bytes.
+
+    Fine ranges of ids come from approximate quantiles (FINE to a part); their bytes are counted and neighbours put
+    together up to a part's share. An id that fills several ranges has a range of its own. Such a range, like that of
+    the null ids, is dealt to as many parts as its bytes ask for, by a hash of the text: the order of rows with one id
+    is free. Some numbers a part reach the driver, no rows.
+    """
+    if parts <= 1:
+        return docs.withColumn("part", F.lit(0)), 1
+    shares = [k / (FINE * parts) for k in range(1, FINE * parts)]
+    quantiles = [int(q) for q in docs.select("doc_id").approxQuantile("doc_id", shares, 0.2 / (FINE * parts))]
+    often = {a for a, b in zip(quantiles, quantiles[1:], strict=False) if a == b}
+    edges = sorted(set(quantiles) | {q + 1 for q in often})
+    rows = ranged(docs, edges)
+    size = rows.groupBy("range").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    sizes = sorted((r["range"], r["bytes"], r["low"] == r["high"] or r["range"] == 0) for r in size.collect())  # a row a range
+    share = max(1, sum(n for _, n, _ in sizes) // parts)
+    first, count = {}, {}
+    at, held = -1, share
+    for number, n, single in sizes:
+        split = max(1, -(-n // share)) if single else 1
+        if split > 1 or held + n > share:
+            at, held = at + 1, 0
+        first[number], count[number] = at, split
+        at, held = at + split - 1, share if split > 1 else held + n
+    table = lambda values: F.array(*[F.lit(values.get(k, 0)) for k in range(max(first, default=0) + 1)])
+    spread = F.pmod(F.xxhash64("text"), F.get(table(count), F.col("range"))).cast("int")
+    return rows.withColumn("part", F.get(table(first), F.col("range")) + spread).drop("range"), at + 1
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end: int = 2, parts: int | None = None) -> DataFrame:
@@ -205,7 +240,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end: int =
         if held:
             yield close()
 
-    dealt = dealt_by_id(rows, parts).repartition(parts, "part").sortWithinPartitions("part", "doc_id")
+    dealt, parts = dealt_by_id(rows, parts)
+    dealt = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id")
     made = materialise(dealt.mapInArrow(encode, "part long, n_docs long, n_tokens long"), spark, "token-parts")
     base = docs_before = 0
     listed = []
@@ -236,7 +272,8 @@ def read_token_files(listed: DataFrame, folder: str) -> DataFrame:
                     )
 
     n = max(1, listed.count())
-    return listed.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    dealt = listed.repartitionById(n, F.col("part").cast("int"))
+    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, spark: SparkSession, vocabulary: str, end: int = 2, parts: int | None = None) -> DataFrame:
