@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from breakweave.llm.common import bounded_batches, materialise
+from breakweave.llm.common import bounded_batches, hot_join, materialise
 from breakweave.llm.components import components
 
 BITS = 64
@@ -190,9 +190,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket: in
         links = links.unionByName(crowded_links(crowded, radius))
     roots = components(links)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = materialise(rooted, spark, "rooted")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = rooted.join(least, "root").select("fp", "component_id")
-    return each.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = materialise(hot_join(rooted, least, ["root"]).select("fp", "component_id"), spark, "labels")
+    return hot_join(each, labels, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:

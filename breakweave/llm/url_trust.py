@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from breakweave.llm.common import ensure_checkpoint_dir
+from breakweave.llm.common import ensure_checkpoint_dir, hot_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Scheme, host and path, as far as the host; both engines know this form.
@@ -53,7 +53,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -
     rank = seeds
     for _ in range(rounds):
         moved = (
-            rank.join(edges, rank.host == edges.src)
+            hot_join(edges, rank.withColumnRenamed("host", "src"), ["src"])
             .groupBy("dst")
             .agg((F.sum(F.col("rank") * F.col("p")) * damping).alias("rank"))
             .select(F.col("dst").alias("host"), "rank")
@@ -70,7 +70,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -
 def normalised(edges: DataFrame) -> DataFrame:
     """src, dst, p: each host's links as shares."""
     total = edges.groupBy("src").agg(F.sum("w").alias("all_w"))
-    return edges.join(total, "src").select("src", "dst", (F.col("w") / F.col("all_w")).alias("p")).checkpoint()
+    return hot_join(edges, total, ["src"]).select("src", "dst", (F.col("w") / F.col("all_w")).alias("p")).checkpoint()
 
 
 def judge_pages(pages: DataFrame, rules: DataFrame, rounds: int = 10, damping: float = 0.85, threshold: float = 0.5) -> DataFrame:
@@ -85,9 +85,9 @@ def judge_pages(pages: DataFrame, rules: DataFrame, rounds: int = 10, damping: f
     ensure_checkpoint_dir(pages.sparkSession)
     read = with_host_and_path(pages.select(F.col("page_id").cast("long"), "url", "html"))
     placed = read.select("page_id", "host", "path")
-    by_host = host_rules(placed.select("host").distinct(), rules)
+    by_host = host_rules(placed.select("host").distinct(), rules).checkpoint()
     first = F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"]))
-    ruled = placed.join(by_host, "host", "left").withColumn("fit", F.get(first, F.lit(0)))
+    ruled = hot_join(placed, by_host, ["host"], "left").withColumn("fit", F.get(first, F.lit(0)))
     ruled = ruled.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.rule_verdict").alias("ruled")).checkpoint()
 
     links = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINKED), 1), lowered))
@@ -115,7 +115,7 @@ def judge_pages(pages: DataFrame, rules: DataFrame, rounds: int = 10, damping: f
         distrust.select("host", F.lit(0.0).alias("trust"), F.col("rank").alias("distrust"))
     )
     host = both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-    bad = host.where(F.col("distrust") > 0).where(F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust"))).select("host", F.lit("block").alias("found"))
-    return ruled.join(bad, "host", "left").select(
+    bad = host.where(F.col("distrust") > 0).where(F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust"))).select("host", F.lit("block").alias("found")).checkpoint()
+    return hot_join(ruled, bad, ["host"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", "found", F.lit("allow")).alias("verdict")
     )
