@@ -130,10 +130,8 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 def benchmark_windows(items: DataFrame, widths: list[int]) -> DataFrame:
     """item, item_pos, hash: the windows of both ways to read an item, with and without names."""
-    parts = []
-    for w in widths:
-        own = items.where(F.col("width") == w)
-        parts += [dealt_windows(own.select("item", F.col(c).alias("tokens")), [w], "item") for c in ("tokens", "plain")]
+    readings = F.explode(F.array("tokens", "plain")).alias("tokens")
+    parts = [dealt_windows(items.where(F.col("width") == w).select("item", readings), [w], "item") for w in widths]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -153,9 +151,10 @@ def template_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5,
     id are passed over, since no row could name them; rows that repeat an id are judged together, one by one where
     their texts differ; an empty table on either side gives an empty result; other columns are not read.
     """
-    items = items_of(benchmark)
+    # The benchmark's side is written once: it is small, and its steps would stand in the plan once a use.
+    items = materialise(items_of(benchmark), docs.sparkSession, "benchmark-items")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect()) or [max(WIDTHS)]  # four numbers at most
-    windows = benchmark_windows(items, widths)
+    windows = materialise(benchmark_windows(items, widths), docs.sparkSession, "benchmark-windows")
     if windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), "text")
