@@ -5,8 +5,13 @@ All of them give null for null inputs unless they say otherwise; empty strings a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Half windows in bp: neighbourhood of a motif, and the context of the Markov model.
 LARGE_WINDOW = 1000
@@ -86,22 +91,49 @@ def spliced(context: Column, window: Column | int, removed: Column, put: Column)
     return F.concat(F.substring(context, F.lit(1), w.cast("int")), put, tail)
 
 
-def motif_ends(seq: Column, motif: Column) -> Column:
-    """End offsets of all occurrences, overlapping ones too; none for an empty motif. Motifs are letters.
-
-    The sequence is cut before every occurrence, so the pieces' lengths add up to the places in one pass.
-    """
-    pieces = F.split(seq, F.concat(F.lit("(?="), motif, F.lit(")")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    k = F.length(motif)
-    # Only the first piece can begin without an occurrence.
-    begins = lambda acc, piece: (acc["at"] > 0) | F.startswith(seq, motif)
+def _ends(text: bytes, letters: np.ndarray, motif: bytes) -> np.ndarray:
+    """End offsets of all occurrences: the last two letters are looked for at once, longer motifs by their rare places."""
+    k = len(motif)
+    if k == 0 or k > len(text):
+        return np.empty(0, np.int32)
+    ends = np.flatnonzero(letters[k - 1 :] == motif[-1]) + k
+    for back in range(2, k + 1):
+        if not len(ends):
+            break
+        ends = ends[letters[ends - back] == motif[-back]]
+    return ends.astype(np.int32)
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def ends_udf(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The end offsets of each of a row's motifs in its sequence; null for null ones."""
+    for seqs, lists in batches:
+        cuts, offsets, ends, nulls = [0], [0], [np.empty(0, np.int32)], []
+        at = 0
+        for seq, motifs in zip(seqs.to_pylist(), lists.to_pylist(), strict=True):
+            text = (seq or "").encode()
+            letters = np.frombuffer(text, np.uint8)
+            for motif in motifs or []:
+                missing = seq is None or motif is None
+                found = np.empty(0, np.int32) if missing else _ends(text, letters, motif.encode())
+                at += len(found)
+                ends.append(found)
+                offsets.append(at)
+                nulls.append(missing)
+            cuts.append(len(nulls))
+        mask = pa.array(nulls, pa.bool_()) if any(nulls) else None
+        inner = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ends), pa.int32()), mask=mask)
+        yield pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), inner)
+
+
+def all_motif_ends(seq: Column, motifs: Column) -> Column:
+    """For an array of motifs, the end offsets of all occurrences of each, in one pass over the batch."""
+    return ends_udf(seq, motifs)
 
-    def step(acc: Column, piece: Column) -> Column:
-        out = F.when(begins(acc, piece), F.concat(acc["out"], F.array(acc["at"] + k))).otherwise(acc["out"])
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), out.alias("out"))
 
-    return F.when(k > 0, F.aggregate(pieces, start, step, lambda acc: acc["out"])).when(k == 0, F.array().cast("array<int>"))
+def motif_ends(seq: Column, motif: Column) -> Column:
+    """End offsets of all occurrences, overlapping ones too; none for an empty motif. Motifs are letters."""
+    return F.get(ends_udf(seq, F.array(motif)), F.lit(0))
 
 
 def motif_count(seq: Column, motif: Column) -> Column:

@@ -19,9 +19,13 @@ def tiles(genome: DataFrame, pad: int, size: int = TILE) -> DataFrame:
     return cut.select("chr", "tile", base.alias("base"), S.fetch(F.col("seq"), base, (F.col("tile") + 1) * size + pad).alias("tile_seq"))
 
 
-def with_tile(variants: DataFrame, genome: DataFrame, pad: int, size: int = TILE) -> DataFrame:
-    """Variants with the tile that their position lies in (base, tile_seq); an equality join on chr and tile."""
+def with_tile(variants: DataFrame, genome: DataFrame, pad: int, size: int = TILE, deal: bool = False) -> DataFrame:
+    """Variants with the tile that their position lies in (base, tile_seq); an equality join on chr and tile.
+
+    With deal=True the variants are dealt by chr and tile first, so that those of a few files make use of all tasks.
+    """
     placed = variants.withColumn("tile", (F.col("pos") / size).cast("long"))
+    placed = placed.repartition("chr", "tile") if deal else placed
     return placed.join(tiles(genome, pad, size), ["chr", "tile"]).drop("tile")
 
 
@@ -77,7 +81,7 @@ def dedupe(variants: DataFrame) -> DataFrame:
 def clean(variants: DataFrame, genome: DataFrame, window: int = 1000) -> DataFrame:
     """Polarised indels whose context of `window` bases on both sides holds ACGT only. Undecided, odd and edge rows go."""
     kept = drop_near_start(drop_snps(polarise(variants)), window)
-    near = with_tile(kept, genome, window + 1)
+    near = with_tile(kept, genome, window + 1, deal=True)
     context = S.fetch(F.col("tile_seq"), F.col("pos") - window, F.col("pos") + window, F.col("base"))
     return near.where(~context.rlike("[^ACGT]") & ~F.col("anc").contains("N")).drop("tile_seq", "base")
 

@@ -81,7 +81,8 @@ def mh_candidates(lengths: list[int]) -> Column:
 def detect_deletions(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """Adds k_max and del (candidates with positions and frequencies of the motif around the break)."""
     found = rows.where("indel_type = 'DEL'").withColumn("k_max", longest_mh(rows)).withColumn("mh", mh_candidates(lengths))
-    ends = found.withColumn("ends", F.transform("mh", lambda m: F.when(m["len"] > 0, S.motif_ends(F.col("around"), m["cand"]))))
+    cands = F.transform("mh", lambda m: F.when(m["len"] > 0, m["cand"]))
+    ends = found.withColumn("ends", S.all_motif_ends(F.col("around"), cands))
     small, around = F.col("small_window"), F.arrays_zip("mh", "ends")
 
     def filled(z: Column) -> Column:

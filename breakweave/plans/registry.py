@@ -127,10 +127,10 @@ def p5_p22_scalars(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT l_orderkey, l_linenumber, CASE WHEN 1 - l_tax > l_tax + l_discount THEN 0 WHEN l_tax + l_discount > 1 - l_tax THEN 1 ELSE 2 END AS ancestral
-    FROM lineitem WHERE l_linenumber = 1"""
+    FROM lineitem"""
 )
 def p2_ancestral_state(spark: SparkSession, d: str) -> DataFrame:
-    rows = world.read(spark, d, "lineitem").where("l_linenumber = 1")
+    rows = world.read(spark, d, "lineitem")
     ref = F.concat(F.lit("A:"), 1 - F.col("l_tax"))
     return rows.select("l_orderkey", "l_linenumber", S.ancestral_state(S.frequency_value(ref), F.col("l_tax") + F.col("l_discount")).alias("ancestral"))
 
@@ -300,7 +300,7 @@ def k10_markov_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def k_combined_scores(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.scored(world.variants(spark, d), world.genome(spark, d), realigned=False)
+    return pipeline.scored(world.variants(spark, d), world.genome(spark, d))
 
 
 GEOMETRIC = DELETIONS + """, g AS (
@@ -415,7 +415,7 @@ def a6_share_against(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def a7_a11_bootstrap_summary(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.bootstrapped(pipeline.scored(world.variants(spark, d), world.genome(spark, d), realigned=False), 500, 5)
+    return pipeline.bootstrapped(pipeline.scored(world.variants(spark, d), world.genome(spark, d)), 500, 5)
 
 
 HASHED = "('0x' || substr(md5({0}), 1, 7))::BIGINT % 1000000 / 1000000.0"
@@ -578,13 +578,13 @@ def v7_pattern_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def v8_mechanism_proportions(spark: SparkSession, d: str) -> DataFrame:
-    scores = pipeline.scored(world.variants(spark, d), world.genome(spark, d), realigned=False).persist()
+    scores = pipeline.scored(world.variants(spark, d), world.genome(spark, d)).persist()
     return evaluate.proportions(scores, "mmej", "del_mmej_lk", "del_p_val", 0.05).unionByName(evaluate.proportions(scores, "snap", "SD_snap_lk", "snap_p_val", 0.05))
 
 
 # Intervals
 
-ANNOTATED = CLEANED + """, annot AS (SELECT CAST(o_orderkey % (SELECT max(doc_id) + 1 FROM documents) AS VARCHAR) AS chr, o_custkey * 7 % 6000 AS s, o_custkey * 7 % 6000 + 40 + o_orderkey % 400 AS e FROM orders),
+ANNOTATED = CLEANED + f""", annot AS (SELECT CAST(o_orderkey % (SELECT max(doc_id) + 1 FROM documents) // {world.DOCS} AS VARCHAR) AS chr, o_custkey * 7 % 6000 AS s, o_custkey * 7 % 6000 + 40 + o_orderkey % 400 AS e FROM orders),
 spans AS (SELECT variant_id, chr, pos - 1 AS s, pos - 1 + length(ref) AS e FROM cleaned)"""
 
 
@@ -593,10 +593,9 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, d: str) -> DataFrame:
-    n = world.read(spark, d, "documents").agg((F.max("doc_id") + 1).alias("n"))
-    rows = world.read(spark, d, "orders").join(F.broadcast(n))  # one number
+    rows = world.contig_of(spark, d, world.read(spark, d, "orders"), "o_orderkey")
     start = F.col("o_custkey") * 7 % 6000
-    return rows.select((F.col("o_orderkey") % F.col("n")).cast("string").alias("chr"), start.alias("start"), (start + 40 + F.col("o_orderkey") % 400).alias("end"))
+    return rows.select("chr", start.alias("start"), (start + 40 + F.col("o_orderkey") % 400).alias("end"))
 
 
 @query(ANNOTATED + " SELECT a.variant_id, a.s AS start, a.e AS \"end\", b.s AS b_start, b.e AS b_end FROM spans a JOIN annot b ON a.chr = b.chr AND a.s >= b.s AND a.e <= b.e")
