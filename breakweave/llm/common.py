@@ -77,6 +77,14 @@ def materialise(frame: DataFrame, spark: SparkSession, tag: str, *partition_by:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the files of tables that `materialise` wrote and nothing reads any more."""
+    for frame in frames:
+        for folder in {uri.rsplit("/", 1)[0] for uri in frame.inputFiles()}:
+            path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it; works on executors."""
     filesystem, path = pafs.FileSystem.from_uri(uri)
