@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from breakweave.functions import sequence as S
 
-#: Bases of a genome tile; a tile also carries `pad` bases on both sides.
-TILE = 16_384
+#: Bases of a genome tile; a tile also carries `pad` bases on both sides. Every variant has its tile copied next to it
+#: and is cut from it by walking from the tile's start, so tiles are about as short as their pads.
+TILE = 1024
 
 
 def tiles(genome: DataFrame, pad: int, size: int = TILE) -> DataFrame:
@@ -22,10 +23,13 @@ def tiles(genome: DataFrame, pad: int, size: int = TILE) -> DataFrame:
 def with_tile(variants: DataFrame, genome: DataFrame, pad: int, size: int = TILE, deal: bool = False) -> DataFrame:
     """Variants with the tile that their position lies in (base, tile_seq); an equality join on chr and tile.
 
-    With deal=True the variants are dealt by chr and tile first, so that those of a few files make use of all tasks.
+    With deal=True the variants are dealt by chr and tile first, so that those of a few files make use of all tasks. The
+    number of parts is given: rows are narrow before the join and wide after it, so their size must not decide.
     """
     placed = variants.withColumn("tile", (F.col("pos") / size).cast("long"))
-    placed = placed.repartition("chr", "tile") if deal else placed
+    if deal:
+        parts = int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = placed.repartition(parts, "chr", "tile")
     return placed.join(tiles(genome, pad, size), ["chr", "tile"]).drop("tile")
 
 

@@ -52,7 +52,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_suppkey") % 60).cast("int").alias("gap"),
         (F.col("l_orderkey") % 3).cast("int").alias("ancestral"),
     )
-    near = with_tile(placed, contigs, 128)
+    near = with_tile(placed, contigs, 128, deal=True)
     at = lambda start, length: fetch(F.col("tile_seq"), F.col("pos") - 1 + start, F.col("pos") - 1 + start + length, F.col("base"))
     copied = at(2 + F.col("gap"), F.col("n"))
     put = F.when(F.col("l_linenumber") % 4 == 2, reverse_complement(copied)).otherwise(copied)
