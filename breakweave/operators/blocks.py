@@ -6,6 +6,9 @@ from a hash of seed, draw and slot, so that every engine and every run draws the
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,24 @@ def hashed_number(below: Column | int, *parts: Column | int | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long") % (below if isinstance(below, Column) else F.lit(below))
 
 
+def least_of_each(rows: DataFrame, by: list[str], bin_: Column, order: list[Column], quota: Column) -> DataFrame:
+    """The `quota` first rows of each group in the given order; null keys are a group, a quota is one number a group.
+
+    `bin_` must rise with the order, such as a hash's first digits. Rows are counted by bin; the bins below the one
+    that a quota ends in are taken whole and only bins are ranked, so that no task sorts a group. Groups are few: one
+    number a group is broadcast.
+    """
+    binned = rows.withColumns({"_bin": bin_, "_quota": quota})
+    counts = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("n"), F.max("_quota").alias("q"))
+    counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy(*by).orderBy("_bin")) - F.col("n"))
+    edge = counts.where("before < q").groupBy(*[F.col(k).alias(f"_by_{k}") for k in by]).agg(F.max(F.struct("_bin", (F.col("q") - F.col("before")).alias("rest"))).alias("_edge"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by])
+    near = binned.join(F.broadcast(edge), same).where(F.col("_bin") <= F.col("_edge._bin"))
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_bin").orderBy(*order)))
+    taken = ranked.where((F.col("_bin") < F.col("_edge._bin")) | (F.col("_rank") <= F.col("_edge.rest")))
+    return taken.select(*rows.columns)
+
+
 def draws(spark: SparkSession, n_draws: int, n_blocks: int, seed: int) -> DataFrame:
     """draw, slot, block: each draw takes n_blocks blocks with replacement."""
     grid = spark.range(n_draws * n_blocks).select((F.col("id") / n_blocks).cast("long").alias("draw"), (F.col("id") % n_blocks).alias("slot"))

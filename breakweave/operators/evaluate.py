@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakweave.operators.blocks import hashed_number
+from breakweave.operators.blocks import hashed_number, least_of_each
 
 
 def confusion(score: Column, positive: Column, cutoff: Column) -> dict[str, Column]:
@@ -58,8 +58,8 @@ def bootstrapped_roc(rows: DataFrame, cutoffs: list[float], draws: int, per_clas
     best = rows.groupBy("variant_id").agg(F.bool_or("positive").alias("positive"), F.min(F.col(p_value) * F.col("variant_id_N")).alias("p"))
     spark = rows.sparkSession
     numbered = best.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    order = F.row_number().over(Window.partitionBy("draw", "positive").orderBy(hashed_number(1 << 28, seed, F.col("draw"), F.col("variant_id")), "variant_id"))
-    drawn = numbered.withColumn("r", order).where(F.col("r") <= per_class)
+    numbered = numbered.withColumn("h", hashed_number(1 << 28, seed, F.col("draw"), F.col("variant_id")))
+    drawn = least_of_each(numbered, ["draw", "positive"], F.shiftright("h", 16), [F.col("h"), F.col("variant_id")], F.lit(per_class))
     met = drawn.join(F.broadcast(cutoff_table(spark, cutoffs)))  # a short list
     called = F.coalesce(F.col("p") < F.col("cutoff"), F.lit(False))
     each = met.groupBy("draw", "cutoff").agg(
@@ -79,9 +79,9 @@ def mixture_evaluation(rows: DataFrame, size: int, cutoff: float, seed: int = 0,
     """
     best = rows.groupBy("variant_id").agg(F.bool_or("positive").alias("positive"), F.min(F.col("p_val") * F.col("variant_id_N")).alias("p"))
     each = best.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-    rank = F.row_number().over(Window.partitionBy("step", "positive").orderBy(hashed_number(1 << 28, seed, F.col("step"), F.col("variant_id")), "variant_id"))
+    each = each.withColumn("h", hashed_number(1 << 28, seed, F.col("step"), F.col("variant_id")))
     wanted = F.round(F.when(F.col("positive"), F.col("step")).otherwise(steps - F.col("step")) * size / steps)
-    drawn = each.withColumn("r", rank).where(F.col("r") <= wanted)
+    drawn = least_of_each(each, ["step", "positive"], F.shiftright("h", 16), [F.col("h"), F.col("variant_id")], wanted)
     called = F.coalesce(F.col("p") < cutoff, F.lit(False))
     good = F.col("positive")
     none = F.lit(0.0) if zero_for_none else F.lit(None).cast("double")

@@ -147,7 +147,7 @@ def p10_p11_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 
 MOTIF = DELETIONS + """, hits AS (
-  SELECT variant_id, indel_len, right(indel, 2) AS motif, list_transform(list_filter(range(1, length(around)), lambda i: substr(around, CAST(i AS INTEGER), 2) = right(indel, 2)), lambda i: i + 1 - 1000) AS p
+  SELECT variant_id, indel, indel_len, right(indel, 2) AS motif, list_transform(list_filter(range(1, length(around)), lambda i: substr(around, CAST(i AS INTEGER), 2) = right(indel, 2)), lambda i: i + 1 - 1000) AS p
   FROM deletions WHERE indel_len >= 2
 )"""
 
@@ -171,7 +171,21 @@ def p13_p14_motifs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(None)
+#: Enthalpy and entropy of a stack in SQL, from the fixed values of both strands.
+STACK_SQL = [
+    "CASE substr(x, CAST(i AS INTEGER), 2) " + " ".join(f"WHEN '{p}' THEN {v[k]}" for pair, v in S.STACKS.items() for p in {pair, pair[::-1].translate(str.maketrans("ACGT", "TGCA"))}) + " END"
+    for k in (0, 1)
+]
+
+
+@query(
+    MOTIF
+    + f""", t AS (SELECT variant_id, p, indel AS x FROM hits),
+    s AS (SELECT variant_id, p, x, CAST(left(x, 1) IN ('A', 'T') AS INTEGER) + CAST(right(x, 1) IN ('A', 'T') AS INTEGER) AS weak,
+      list_sum(list_transform(range(1, length(x)), lambda i: {STACK_SQL[0]})) AS h, list_sum(list_transform(range(1, length(x)), lambda i: {STACK_SQL[1]})) AS s FROM t)
+    SELECT variant_id, coalesce(array_to_string(list_filter(list_transform(p, lambda e: list_filter(p, lambda y: y >= e + 2)[1] - 2 - e), lambda g: g IS NOT NULL), ','), '') AS gaps,
+      round(1000 * (h + 2.3 * weak + 0.1 * (2 - weak)) / (s + 4.1 * weak - 2.8 * (2 - weak) + 0.368 * (length(x) - 1) * ln(0.05) + 1.987 * ln(1.25e-8)) - 273.15, 6) AS tm FROM s"""
+)
 def p16_p20_gaps_and_melting(spark: SparkSession, d: str) -> DataFrame:
     rows = deletions(spark, d).where("indel_len >= 2").withColumn("motif", F.right("indel", F.lit(2)))
     ends = S.motif_ends(F.col("around"), F.col("motif"))
@@ -346,9 +360,23 @@ def e3_variant_draw(spark: SparkSession, d: str) -> DataFrame:
     return em.draw_variants(p_rows(spark, d), 300, 7)
 
 
-@query(None)
+BOOT_SQL = (
+    P_ROWS
+    + """, ids AS (SELECT variant_id, CAST(b AS BIGINT) AS boot_n FROM (SELECT DISTINCT variant_id FROM p), (SELECT unnest(range(0, 10)) AS b)
+      QUALIFY row_number() OVER (PARTITION BY b ORDER BY md5('0|' || b || '|' || variant_id), variant_id) <= 200),
+    drawn AS MATERIALIZED (SELECT boot_n, variant_id, p FROM ids JOIN p USING (variant_id)), t0 AS (SELECT DISTINCT boot_n, CAST(0.9 AS DOUBLE) AS theta FROM ids)"""
+    + "".join(
+        f""", v{k} AS (SELECT boot_n, variant_id, sum((p * theta + (1 - p) * (1 - theta)) * p) / sum(p * theta + (1 - p) * (1 - theta)) AS part FROM drawn JOIN t{k - 1} USING (boot_n) GROUP BY boot_n, variant_id),
+    t{k} AS MATERIALIZED (SELECT boot_n, avg(part) AS theta FROM v{k} GROUP BY boot_n)"""
+        for k in range(1, 11)
+    )
+)
+
+
+@query(BOOT_SQL + " SELECT boot_n, round(theta, 9) AS NHEJ, round(1 - theta, 9) AS MMEJ FROM t10")
 def e3_bootstrap_em(spark: SparkSession, d: str) -> DataFrame:
-    return em.bootstrap_em(p_rows(spark, d), draws=10, size=200, rounds=10)
+    out = em.bootstrap_em(p_rows(spark, d), draws=10, size=200, rounds=10)
+    return out.select("boot_n", *[F.round(c, 9).alias(c) for c in ("NHEJ", "MMEJ")])
 
 
 @query(None)
@@ -636,26 +664,55 @@ def amplicon_reads(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.lit("amp").alias("chr"), read.alias("read"), F.repeat(F.lit("I"), F.length(read)).alias("qual"), cigar.alias("cigar"))
 
 
-@query(None)
+READS = f"""WITH e AS (SELECT event_id, user_id, CAST(45 + event_id % 12 AS INTEGER) AS m, CAST(user_id % 9 AS INTEGER) AS x, CAST(event_id % 5 AS INTEGER) AS i, '{AMPLICON}' AS ref FROM events),
+r0 AS (SELECT *, left(ref, m) || substr(ref, CAST(user_id % 90 AS INTEGER) + 1, i) || substr(ref, m + x + 1) AS r FROM e),
+r AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN substr(r, 1, 19) || 'A' || substr(r, 21) ELSE r END AS read FROM r0)"""
+
+
+def read_chain_sql(window: int) -> str:
+    """READS with the whole chain of a read: classified (and mh) as of `reads.classify` and `junction_microhomology`."""
+    size = len(AMPLICON)
+    prefix = lambda a, b: f"len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda k: left({a}, CAST(k AS INTEGER)) = left({b}, CAST(k AS INTEGER))))"
+    suffix = lambda a, b: f"len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda k: right({a}, CAST(k AS INTEGER)) = right({b}, CAST(k AS INTEGER))))"
+    report = lambda n: f"""reported{n} AS (SELECT *, least(ml - {LEFT}, 0) AS dl, least(mr - {RIGHT}, 0) AS dr, CAST(greatest(length(read) - least(ml, {LEFT}) - least(mr, {RIGHT}), 0) AS INTEGER) AS il FROM matched{n}),
+spelt{n} AS (SELECT *, substr(read, CAST(least(ml, {LEFT}) + 1 AS INTEGER), il) AS ins FROM reported{n})"""
+    return READS + f""", matched1 AS (SELECT event_id, read, ref, x, i, x = 0 AND i = 0 AS one, CASE WHEN x = 0 AND i = 0 THEN {size} ELSE m END AS ml, CASE WHEN x = 0 AND i = 0 THEN {size} ELSE {size} - m - x END AS mr FROM r),
+{report(1)}, lost AS (SELECT *, substr(ref, {LEFT} + dl + 1, greatest({size} - {RIGHT} - dr - {LEFT} - dl, 0)) AS lost, x > 0 AND i > 0 AS four, dl + dr < 0 AND il > 0 AS applies FROM spelt1),
+grown AS (SELECT event_id, read, ref, one, ml + CASE WHEN applies AND (four OR dl < 0) THEN {prefix("lost", "ins")} ELSE 0 END AS ml, mr + CASE WHEN applies AND NOT four AND dr < 0 THEN {suffix("lost", "ins")} ELSE 0 END AS mr FROM lost),
+ab AS (SELECT *, CASE WHEN one THEN {LEFT} ELSE ml END AS a, CASE WHEN one THEN {RIGHT} ELSE mr END AS b FROM grown),
+cut AS (SELECT *, a - coalesce(list_max(list_filter(range(1, {window} + 1), lambda c: c <= a AND substr(read, a - c + 1, 1) <> substr(ref, a - c + 1, 1))), 0) AS l,
+  b - coalesce(list_max(list_filter(range(0, {window}), lambda c: c < b AND substr(read, length(read) - (b - c) + 1, 1) <> substr(ref, length(ref) - (b - c) + 1, 1))) + 1, 0) AS r FROM ab),
+matched2 AS (SELECT event_id, read, ref, CASE WHEN keep THEN ml ELSE l END AS ml, CASE WHEN keep THEN mr ELSE r END AS mr FROM (SELECT *, one AND ({size} > length(read) OR l + r = {size}) AS keep FROM cut)),
+{report(2)}, classed AS (SELECT *, CASE WHEN dl + dr = 0 AND il = 0 THEN 'exact' WHEN dl + dr = 0 THEN 'insertion' WHEN il = 0 THEN 'deletion' ELSE 'complex' END AS class FROM spelt2),
+rebuilt AS (SELECT *, CASE WHEN class <> 'exact' THEN left(ref, {LEFT} + dl) || ins || right(ref, {RIGHT} + dr) WHEN length(read) = {size} THEN ref ELSE read END AS working FROM classed),
+kept AS (SELECT *, left(working, ml) AS wl, right(working, mr) AS wr, left(ref, greatest({size} - mr, 0)) AS rl, substr(ref, ml + 1) AS rr FROM rebuilt WHERE length(working) = length(read)),
+classified AS (SELECT *, CASE WHEN class = 'deletion' THEN
+  right(wl, CASE WHEN mr < {RIGHT} THEN {suffix("wl", "rl")} ELSE 0 END) || left(wr, CASE WHEN ml < {LEFT} THEN {prefix("wr", "rr")} ELSE 0 END) ELSE '' END AS mh FROM kept)"""
+
+
+@query(
+    read_chain_sql(3)
+    + """ SELECT event_id, CAST(ml AS INTEGER) AS m_left, CAST(mr AS INTEGER) AS m_right, CAST(dl AS INTEGER) AS del_left, CAST(dr AS INTEGER) AS del_right, CAST(il AS INTEGER) AS insert_length,
+    ins AS insert_seq, class, working, mh FROM classified"""
+)
 def h1_h7_read_classes(spark: SparkSession, d: str) -> DataFrame:
     rows = reads.classify(amplicon_reads(spark, d), AMPLICON, LEFT, RIGHT, 3, 3)
     out = reads.junction_microhomology(rows, AMPLICON, LEFT, RIGHT)
     return out.select("event_id", "m_left", "m_right", "del_left", "del_right", "insert_length", "insert_seq", "class", "working", "mh")
 
 
-@query(None)
+@query(
+    read_chain_sql(0)
+    + """, spots AS (SELECT working, read, CAST(unnest(range(1, length(read) + 1)) AS INTEGER) AS position FROM kept)
+    SELECT working, position, CAST(count(*) AS BIGINT) AS errors FROM spots WHERE substr(read, position, 1) <> substr(working, position, 1) GROUP BY ALL"""
+)
 def h8_read_errors(spark: SparkSession, d: str) -> DataFrame:
     return reads.read_errors(reads.classify(amplicon_reads(spark, d), AMPLICON, LEFT, RIGHT))
 
 
-@query(None)
+@query(read_chain_sql(0) + " SELECT working, class, CAST(count(*) AS BIGINT) AS reads, round(avg(CAST(read <> working AS INTEGER)) * 100, 9) AS error_percent FROM kept GROUP BY working, class")
 def a25_read_counts(spark: SparkSession, d: str) -> DataFrame:
-    return reads.read_counts(reads.classify(amplicon_reads(spark, d), AMPLICON, LEFT, RIGHT))
-
-
-READS = f"""WITH e AS (SELECT event_id, user_id, CAST(45 + event_id % 12 AS INTEGER) AS m, CAST(user_id % 9 AS INTEGER) AS x, CAST(event_id % 5 AS INTEGER) AS i, '{AMPLICON}' AS ref FROM events),
-r0 AS (SELECT *, left(ref, m) || substr(ref, CAST(user_id % 90 AS INTEGER) + 1, i) || substr(ref, m + x + 1) AS r FROM e),
-r AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN substr(r, 1, 19) || 'A' || substr(r, 21) ELSE r END AS read FROM r0)"""
+    return reads.read_counts(reads.classify(amplicon_reads(spark, d), AMPLICON, LEFT, RIGHT)).withColumn("error_percent", F.round("error_percent", 9))
 
 
 @query(
@@ -705,27 +762,58 @@ def g2_mmej_deletions(spark: SparkSession, d: str) -> DataFrame:
     return simulate.mmej_deletions(places(spark, d), world.genome(spark, d), 4, 50)
 
 
-@query(None)
+@query(
+    SITES
+    + """, n AS (SELECT *, 1 + ('0x' || substr(md5('5|length|' || chr || '|' || pos), 1, 7))::BIGINT % 20 AS n, 500 + ('0x' || substr(md5('5|from|' || chr || '|' || pos), 1, 7))::BIGINT % 1400 AS f FROM placed_sites),
+    r AS (SELECT chr, pos, substr(seq, pos, 1) AS ref, substr(seq, pos, 1) || substr(left(seq, 1920), f + 1, n) AS alt FROM n)
+    SELECT *, CAST(length(alt) - 1 AS INTEGER) AS indel_length FROM r WHERE length(alt) > 1 AND NOT regexp_matches(ref || alt, '[^ACGT]')"""
+)
 def g3_copied_insertions(spark: SparkSession, d: str) -> DataFrame:
     return simulate.copied_insertions(places(spark, d), world.genome(spark, d), 1, 20, 5)
 
 
-@query(None)
+@query(
+    SITES
+    + """, a AS (SELECT *, strpos(substr(seq, pos + 4, 56), substr(seq, pos - 2, 3)) + 2 AS a FROM placed_sites WHERE contains(substr(seq, pos + 4, 56), substr(seq, pos - 2, 3))),
+    b AS (SELECT *, substr(seq, pos + a + 4, 57 - a) AS room, strpos(substr(seq, pos + a + 4, 57 - a), substr(seq, pos + 1, 3)) AS b FROM a),
+    r AS (SELECT chr, pos, substr(seq, pos, 1) AS ref, substr(seq, pos, 1) || left(room, b - 1) AS alt FROM b WHERE b > 1)
+    SELECT *, CAST(length(alt) - 1 AS INTEGER) AS indel_length FROM r WHERE NOT regexp_matches(ref || alt, '[^ACGT]')"""
+)
 def g4_loop_out_insertions(spark: SparkSession, d: str) -> DataFrame:
     return simulate.loop_out_insertions(places(spark, d), world.genome(spark, d), 3, 3, 60)
 
 
-@query(None)
+@query(
+    SITES
+    + """, m AS (SELECT *, reverse(translate(substr(seq, pos - 2, 3), 'ACTG', 'TGAC')) AS mh, reverse(translate(substr(seq, pos + 1, 3), 'ACTG', 'TGAC')) AS sd FROM placed_sites),
+    a AS (SELECT *, strpos(substr(seq, pos + 4, 56), sd) + 2 AS a FROM m WHERE contains(substr(seq, pos + 4, 56), sd)),
+    b AS (SELECT *, substr(seq, pos + a + 4, 57 - a) AS room, strpos(substr(seq, pos + a + 4, 57 - a), mh) AS b FROM a),
+    r AS (SELECT chr, pos, substr(seq, pos, 1) AS ref, substr(seq, pos, 1) || reverse(translate(left(room, b - 1), 'ACTG', 'TGAC')) AS alt FROM b WHERE b > 1)
+    SELECT *, CAST(length(alt) - 1 AS INTEGER) AS indel_length FROM r WHERE NOT regexp_matches(ref || alt, '[^ACGT]')"""
+)
 def g5_snap_back_insertions(spark: SparkSession, d: str) -> DataFrame:
     return simulate.snap_back_insertions(places(spark, d), world.genome(spark, d), 3, 3, 60)
 
 
-@query(None)
+@query(
+    SITES
+    + """, d AS (SELECT *, strpos(substr(seq, pos + 1, 53), substr(seq, pos - 2, 3)) + 2 AS d FROM placed_sites WHERE contains(substr(seq, pos + 1, 53), substr(seq, pos - 2, 3))),
+    j AS (SELECT *, strpos(substr(seq, pos + d + 1, 12), substr(seq, pos + d + 13, 3)) AS j FROM d),
+    r AS (SELECT chr, pos, substr(seq, pos, d + 16) AS ref,
+      substr(seq, pos, 1) || substr(seq, pos, 1) || substr(seq, pos + d + 1, j + 14) || substr(seq, pos + d + 1, 15) AS alt, CAST(d AS INTEGER) AS deleted, 12 AS inserted FROM j WHERE j > 0)
+    SELECT * FROM r WHERE NOT regexp_matches(ref || alt, '[^ACGT]')"""
+)
 def g6_trans_mmej(spark: SparkSession, d: str) -> DataFrame:
     return simulate.trans_mmej(places(spark, d), world.genome(spark, d), 3, 3, 50, 12)
 
 
-@query(None)
+@query(
+    SITES
+    + """, n AS (SELECT *, 1 + ('0x' || substr(md5('5|length|' || chr || '|' || pos), 1, 7))::BIGINT % 20 AS n FROM placed_sites),
+    made AS (SELECT chr, pos, substr(seq, pos, n + 1) AS ref, substr(seq, pos, 1) AS alt, CAST(n AS INTEGER) AS indel_length FROM n WHERE NOT regexp_matches(substr(seq, pos, n + 1), '[^ACGT]')),
+    quota AS (SELECT indel_length, count(*) // 2 AS quota FROM made WHERE indel_length < 10 GROUP BY 1)
+    SELECT made.* FROM made JOIN quota USING (indel_length) QUALIFY row_number() OVER (PARTITION BY indel_length ORDER BY md5('1|' || chr || '|' || pos), chr, pos) <= quota"""
+)
 def g8_g9_matched_lengths(spark: SparkSession, d: str) -> DataFrame:
     made = simulate.nhej_deletions(places(spark, d), world.genome(spark, d), 1, 20, 5)
     wanted = simulate.length_histogram(made, 10).select("indel_length", (F.col("n") / 2).cast("int").alias("quota"))
