@@ -98,3 +98,13 @@ def describe(variants: DataFrame) -> DataFrame:
         .withColumn("indel_len", S.indel_length(F.col("anc"), F.col("der")))
         .withColumn("variant_id", S.variant_id(F.col("chr"), original))
     )
+
+
+def in_both(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys the other table has too; repeated rows stay, null keys match nothing."""
+    return rows.join(others.select(*keys).distinct(), keys, "left_semi")
+
+
+def only_first(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys the other table lacks; repeated rows and null keys stay."""
+    return rows.join(others.select(*keys).distinct(), keys, "left_anti")

@@ -146,9 +146,26 @@ def p10_p11_contexts(spark: SparkSession, d: str) -> DataFrame:
     return near.select("variant_id", F.md5(context).alias("reference"), F.md5(S.spliced(context, 49, F.col("ref"), F.col("alt"))).alias("mutant"))
 
 
+@query(
+    CLEANED
+    + """ SELECT variant_id, translate(regexp_replace(upper(alt || 'nx'), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA') AS complement, '>' || chr || ':' || (pos - 50) || '-' || (pos + 50) AS key,
+    CASE WHEN indel_len / 30.0 > 0.2 AND length(alt) > 1 THEN 'DEL' ELSE 'INS' END AS kind, indel_len / 30.0 >= 0.5 AND indel_len / 60.0 >= 0.3 AS certain FROM cleaned"""
+)
+def p9_p26_scalars(spark: SparkSession, d: str) -> DataFrame:
+    rows = cleaning.describe(cleaned(spark, d))
+    pos, n = F.col("pos"), F.col("indel_len")
+    return rows.select(
+        "variant_id",
+        S.complement(F.concat("alt", F.lit("nx"))).alias("complement"),
+        S.context_key(F.col("chr"), (pos - 50).cast("string"), (pos + 50).cast("string")).alias("key"),
+        S.type_by_frequency(F.col("alt"), n / 30.0, 0.2).alias("kind"),
+        S.certain(n / 30.0, n / 60.0, 0.5, 0.3).alias("certain"),
+    )
+
+
 MOTIF = DELETIONS + """, hits AS (
-  SELECT variant_id, indel, indel_len, right(indel, 2) AS motif, list_transform(list_filter(range(1, length(around)), lambda i: substr(around, CAST(i AS INTEGER), 2) = right(indel, 2)), lambda i: i + 1 - 1000) AS p
-  FROM deletions WHERE indel_len >= 2
+  SELECT variant_id, indel, indel_len, right(indel, 2) AS motif, list_transform(list_filter(list_zip(letters, letters[2:], range(1, length(around) + 1)), lambda t: t[1] = right(indel, 2)[1] AND t[2] = right(indel, 2)[2]), lambda t: t[3] + 1 - 1000) AS p
+  FROM (SELECT *, string_split(around, '') AS letters FROM deletions) WHERE indel_len >= 2
 )"""
 
 
@@ -396,6 +413,72 @@ def q1_q6_mechanism_lengths(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, float(t), len(log)) for n, t in zip(names, theta, strict=True)], "mechanism string, theta double, rounds int")
 
 
+EM_TYPES = [2, 3, 4, 6, 7, 8, 9, 10, 11, 12]
+TYPES_SQL = GEOMETRIC + """, g1 AS (SELECT variant_id, k_max, length(mh) AS lm, c, CASE WHEN k_max > 0 THEN l ELSE 1.0 END AS x, CASE WHEN k_max > 0 THEN (1 - pow(1 - l, n)) * l ELSE 1.0 END AS p FROM lk),
+b AS (SELECT *, 1 - x AS lk, CASE WHEN k_max > 0 THEN 1.0 ELSE 0.0 END AS h, CASE WHEN k_max > 0 THEN x ELSE 1.0 END AS chance, CASE WHEN k_max > 1 THEN p END AS two,
+  CASE WHEN 1 - (1 - x) < 0.5 THEN pow(1 - (1 - x), 2) WHEN 1 - (1 - x) > 0.5 THEN 1 - pow(1 - x, 2) ELSE 1 - (1 - x) END AS bent, CASE WHEN k_max > 0 THEN (c + 1) / (50 - lm + 1) ELSE 1.0 END AS often,
+  (1 - (1 - x)) * CASE WHEN k_max > 0 THEN x ELSE 1.0 END AS z FROM g1)
+SELECT variant_id, round(CASE WHEN p < 0.49 THEN p + 1e-10 WHEN p > 0.51 THEN p - 1e-10 ELSE p END, 9) AS p2, round(p / (p + h + 1e-16), 9) AS p3, round((1 - lk) / (1 - lk + h + 1e-16), 9) AS p4,
+  round(chance / (chance + h + 1e-16), 9) AS p6, round(1 - chance, 9) AS p7, round(coalesce(two, 1.0) / (coalesce(two, 1.0) + CASE WHEN two IS NULL THEN 0 ELSE 1 END + 1e-16), 9) AS p8,
+  round((lk + 1e-16) / ((lk + 1e-16) + (lk + 1e-16) / (p + 1e-16)), 9) AS p9, round(bent / (bent + h + 1e-16), 9) AS p10, round((1 - lk) * often, 9) AS p11,
+  round((z / (z + h + 1e-16)) / (z / (z + h + 1e-16) + h + 1e-16), 9) AS p12 FROM b"""
+
+
+@query(TYPES_SQL)
+def e_types_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """All formulas but the fifth (see e1_em), over geometric scores."""
+    some = F.col("k_max") > 0
+    rows = markov.geometric_chance(deletions(spark, d)).withColumns({"del_mmej_cand": F.when(some, F.right("indel", F.col("k_max"))), "del_p_val": F.col("geo_p"), "del_mmej_lk": 1 - F.col("geo_lk")})
+    rows = rows.withColumns({"del_p_chance": F.when(some, F.col("geo_lk")), "del_freq_eq": F.when(some, F.col("geo_lk")), "mh2_p_chance": F.when(F.col("k_max") > 1, F.col("geo_p"))})
+    rows = rows.withColumn("del_motif_count", F.when(some, S.motif_count(F.col("around"), F.col("del_mmej_cand"))))
+    return rows.select("variant_id", *[F.round(em.nhej_probability(k), 9).alias(f"p{k}") for k in EM_TYPES])
+
+
+BIN_SQL = (
+    DELETIONS
+    + """, p AS (SELECT variant_id, CASE WHEN indel_len < 10 THEN CAST(indel_len AS VARCHAR) WHEN indel_len < 15 THEN '10<=Indel<15' WHEN indel_len < 30 THEN '15<=Indel<30' ELSE '30<=Indel' END AS length_bin,
+      CAST(block % 5 AS BIGINT) AS boot_n, round(1 - CASE WHEN k_max >= 2 THEN 1.0 ELSE 0.0 END + 1e-6, 16) AS p FROM (SELECT *, CAST(round_even(pos / 500.0, 0) AS BIGINT) AS block FROM deletions)),
+    t0 AS (SELECT DISTINCT boot_n, length_bin, CAST(0.9 AS DOUBLE) AS theta FROM p)"""
+    + "".join(
+        f""", v{k} AS (SELECT boot_n, length_bin, variant_id, sum((p * theta + (1 - p) * (1 - theta)) * p) / sum(p * theta + (1 - p) * (1 - theta)) AS part FROM p JOIN t{k - 1} USING (boot_n, length_bin) GROUP BY ALL),
+    t{k} AS MATERIALIZED (SELECT boot_n, length_bin, avg(part) AS theta FROM v{k} GROUP BY ALL)"""
+        for k in range(1, 6)
+    )
+)
+
+
+@query(BIN_SQL + " SELECT boot_n, length_bin, round(theta, 9) AS NHEJ, round(1 - theta, 9) AS MMEJ FROM t5")
+def a8_em_by_length_bin(spark: SparkSession, d: str) -> DataFrame:
+    # The deal by variant serves the grouping, and ends the expressions that the bins would each repeat.
+    rows = deletions(spark, d).select("variant_id", "pos", "indel_len", "k_max").repartition("variant_id")
+    rows = rows.withColumn("boot_n", blocks.block_id(F.col("pos"), 500) % 5).withColumn("length_bin", S.length_bin(F.col("indel_len")))
+    has = F.when(F.col("k_max") >= 2, 1.0).otherwise(0.0)
+    out = em.em_by_draw(rows.select("boot_n", "length_bin", "variant_id", F.round(1 - has + 1e-6, 16).alias("p")), rounds=5, by=["boot_n", "length_bin"])
+    return out.select("boot_n", "length_bin", *[F.round(c, 9).alias(c) for c in ("NHEJ", "MMEJ")])
+
+
+@query(
+    P_ROWS
+    + """, first AS (SELECT DISTINCT variant_id FROM p WHERE p < 0.5), second AS (SELECT DISTINCT variant_id FROM p WHERE p >= 0.5),
+    a AS (SELECT variant_id FROM first ORDER BY md5('3|' || variant_id), variant_id LIMIT 120), b AS (SELECT variant_id FROM second ORDER BY md5('4|' || variant_id), variant_id LIMIT 80)
+    SELECT variant_id, p FROM p WHERE (p < 0.5 AND variant_id IN (SELECT variant_id FROM a)) OR (p >= 0.5 AND variant_id IN (SELECT variant_id FROM b))"""
+)
+def e4_two_sources(spark: SparkSession, d: str) -> DataFrame:
+    rows = p_rows(spark, d)
+    return em.draw_mixture(rows.where("p < 0.5"), rows.where("p >= 0.5"), 120, 80, 3)
+
+
+@query(
+    CLEANED
+    + """, a AS (SELECT variant_id FROM cleaned WHERE indel_type = 'DEL'), b AS (SELECT variant_id FROM cleaned WHERE indel_type = 'INS')
+    SELECT variant_id, variant_id IN (SELECT variant_id FROM b) AS shared FROM a"""
+)
+def u2_shared_ids(spark: SparkSession, d: str) -> DataFrame:
+    rows = cleaning.describe(cleaned(spark, d)).select("variant_id", "indel_type")
+    a, b = (rows.where(F.col("indel_type") == kind).select("variant_id") for kind in ("DEL", "INS"))
+    return cleaning.in_both(a, b, ["variant_id"]).withColumn("shared", F.lit(True)).unionByName(cleaning.only_first(a, b, ["variant_id"]).withColumn("shared", F.lit(False)))
+
+
 # Blocks, aggregates, statistics
 
 BLOCKS = CLEANED + ", blocked AS (SELECT *, CAST(round_even(pos / 500.0, 0) AS BIGINT) AS block FROM cleaned)"
@@ -425,6 +508,20 @@ def drawn_sums(spark: SparkSession, d: str) -> DataFrame:
     return blocks.compare_draws(blocks.sampled_sums(counts, blocks.draws(spark, 50, counts.count(), 11), ["n_true", "n_false"]))
 
 
+@query(
+    BLOCKS
+    + """, n AS (SELECT unnest(range(0, (SELECT max(block) + 1 FROM blocked))) AS block)
+    SELECT n.block, coalesce(count_if(indel_type = 'DEL'), 0) / 4.0 AS n_true, coalesce(count_if(indel_type <> 'DEL'), 0) / 8.0 AS n_false FROM n LEFT JOIN blocked b ON b.block = n.block GROUP BY n.block"""
+)
+def a3_normalised_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.normalise(blocks.block_counts(blocked(spark, d), F.col("indel_type") == "DEL"), 4.0, 8.0)
+
+
+@query(DRAWN + ", r AS (SELECT n_true / n_false AS ratio FROM sums) SELECT round(avg(ratio) - quantile_cont(ratio, 0.025), 9) AS below, round(quantile_cont(ratio, 0.975) - avg(ratio), 9) AS above FROM r")
+def a23_half_widths(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.half_widths(blocks.quantile_interval(drawn_sums(spark, d), "ratio")).select(F.round("below", 9).alias("below"), F.round("above", 9).alias("above"))
+
+
 @query(DRAWN + " SELECT draw, n_true, n_false, round(n_true / n_false, 9) AS ratio, CAST(n_true < n_false AS INTEGER) AS less FROM sums")
 def a4_a5_block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return drawn_sums(spark, d).withColumn("ratio", F.round("ratio", 9))
