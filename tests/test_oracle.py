@@ -8,7 +8,9 @@ import pytest
 from breakweave.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ["s6_genome", "f1_f4_clean", "p5_p22_scalars", "r1_realign", "a19_mh_length_distribution", "m2_slippage", "m3_m4_seeds", "e2_posterior", "a4_a5_block_bootstrap", "v1_v3_roc", "j6_contained", "h11_sam_to_variants", "g2_mmej_deletions"]
+QUICK = ["s6_genome", "f1_f4_clean", "p5_p22_scalars", "r1_realign", "a19_mh_length_distribution", "m2_slippage", "m3_m4_seeds", "e2_posterior", "a4_a5_block_bootstrap", "v1_v3_roc", "j6_contained", "h11_sam_to_variants", "g2_mmej_deletions",
+    "p9_p26_scalars", "p16_p20_gaps_and_melting", "e_types_probabilities", "e3_bootstrap_em", "a8_em_by_length_bin", "u2_shared_ids", "v5_bootstrapped_roc", "v6_mixtures", "h1_h7_read_classes", "h8_read_errors",
+    "a25_read_counts", "g3_copied_insertions", "g4_loop_out_insertions", "g5_snap_back_insertions", "g6_trans_mmej", "g8_g9_matched_lengths"]
 TABLES = [t.removesuffix(".parquet") for t in os.listdir(DATA)] if os.path.isdir(DATA) else []
 
 

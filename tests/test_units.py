@@ -172,3 +172,20 @@ def test_other_tools_calls(spark):
     calls = spark.createDataFrame([(0, 3, 6, "ACGTTTACGT")], "id int, left int, right int, reconstructed string")
     r = reads.called_insertions(calls, "i").first()
     assert (r["ref"], r["alt"]) == ("G", "GTT")
+
+
+def test_least_of_each_is_the_plain_rank(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("kind"), F.md5(F.col("id").cast("string")).alias("h"))
+    for size in (0, 7, 1500):
+        got = blocks.least_of_each(rows, ["kind"], F.left("h", F.lit(1)), [F.col("h"), F.col("id")], F.lit(size)).collect()
+        every = rows.collect()
+        want = {r["id"] for kind in (None, 1, 2) for r in sorted((x for x in every if x["kind"] == kind), key=lambda x: x["h"])[:size]}
+        assert sorted(r["id"] for r in got) == sorted(want)
+    assert blocks.least_of_each(rows.limit(0), ["kind"], F.left("h", F.lit(1)), [F.col("h")], F.lit(5)).count() == 0
+
+
+def test_rows_by_their_keys(spark):
+    a = spark.createDataFrame([("x",), ("x",), ("y",), (None,)], "k string")
+    b = spark.createDataFrame([("x",), ("x",), (None,)], "k string")
+    assert [r["k"] for r in cleaning.in_both(a, b, ["k"]).collect()] == ["x", "x"]
+    assert {r["k"] for r in cleaning.only_first(a, b, ["k"]).collect()} == {"y", None}
