@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakweave.llm import sql
+from breakweave.llm import merkle, sql
 from breakweave.llm.common import table
 from breakweave.llm.decontaminate import template_leaks
 from breakweave.llm.media_chunks import media_columns
@@ -73,6 +73,14 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    checked = merkle.verified_documents(table(spark, sf_dir, "documents"), even, F.translate("text", "\n", ""))
+    texts = [merkle.as_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    proof = F.sha2(merkle.proof_text(F.col("steps")), 256).alias("proof_sha256")
+    return checked.select("doc_id", *texts, proof, merkle.as_text(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_token_count,
@@ -85,9 +93,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_pii,
         op9_simhash,
         op10_url_trust,
+        op11_merkle_manifest,
     )
     return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": sql.MIXING, "op10_url_trust": sql.pages(PAGE_RULES)}
+    return {"op6_mixing": sql.MIXING, "op10_url_trust": sql.pages(PAGE_RULES), "op11_merkle_manifest": sql.MERKLE}

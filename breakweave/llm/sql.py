@@ -35,6 +35,68 @@ SELECT doc_id, text, lang, source, n_chars, round(rate, 6) AS mix_rate, CAST(cop
 FROM copies
 """
 
+#: The table that a byte-wise crc32 looks up, as one list, and the crc32 of a short ASCII text by it.
+CRC_TABLE = """
+crc_steps AS (
+  SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8
+)"""
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII text; `t` of crc_table has to be in scope."""
+    codes = f"list_transform(range(1, length(({text})) + 1), lambda k: ord(({text})[k])::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    one = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(map(one, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+MERKLE = f"""
+WITH RECURSIVE {CRC_TABLE}, leaf AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS tree, {_leaf("text")} AS d,
+    CASE WHEN {crc32("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS found
+  FROM documents, crc_table
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leaf
+), level AS (
+  SELECT tree, 0 AS k, i, d, n FROM placed
+  UNION ALL
+  SELECT tree, k + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (max(n) + 2) // 3 FROM level WHERE n > 1 GROUP BY tree, k, i // 3
+), run AS (
+  SELECT tree, k, i // 3 AS p, list(d ORDER BY i) AS ds FROM level WHERE n > 1 GROUP BY tree, k, i // 3
+), subroot AS (
+  SELECT tree, d, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM level WHERE n = 1
+), top AS (
+  SELECT 0 AS k, i, d, n FROM subroot
+  UNION ALL
+  SELECT k + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (max(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY k, i // 3
+), top_run AS (
+  SELECT k, i // 3 AS p, list(d ORDER BY i) AS ds FROM top WHERE n > 1 GROUP BY k, i // 3
+), up AS (
+  SELECT doc_id, tree, i AS leaf_rank, d, 0 AS k, i, found AS acc, '' AS proof FROM placed
+  UNION ALL
+  SELECT doc_id, u.tree, leaf_rank, d, u.k + 1, i // 3, sha256(array_to_string(ds[:i % 3] || [acc] || ds[i % 3 + 2:], '')),
+    proof || array_to_string(ds[:i % 3] || ds[i % 3 + 2:], '')
+  FROM up u JOIN run r ON u.tree = r.tree AND u.k = r.k AND u.i // 3 = r.p
+), under AS (
+  SELECT doc_id, tree, d, acc, proof FROM (SELECT *, max(k) OVER (PARTITION BY tree, leaf_rank) AS last FROM up) WHERE k = last
+), over_top AS (
+  SELECT doc_id, u.tree, leaf_rank, u.d, s.d AS subroot, 0 AS k, s.i, acc, proof FROM (SELECT *, row_number() OVER () AS leaf_rank FROM under) u JOIN subroot s ON u.tree = s.tree
+  UNION ALL
+  SELECT doc_id, tree, leaf_rank, d, subroot, u.k + 1, i // 3, sha256(array_to_string(ds[:i % 3] || [acc] || ds[i % 3 + 2:], '')),
+    proof || array_to_string(ds[:i % 3] || ds[i % 3 + 2:], '')
+  FROM over_top u JOIN top_run r ON u.k = r.k AND u.i // 3 = r.p
+)
+SELECT doc_id, o.d AS leaf, subroot, t.d AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = t.d AS verified
+FROM (SELECT *, max(k) OVER () AS last FROM over_top) o, (SELECT d FROM top WHERE n = 1) t WHERE k = last
+"""
+
 
 def pages(rules: list[tuple[str, str, str]], rounds: int = 10, damping: float = 0.85) -> str:
     """Rules and both rankings, round by round."""
