@@ -19,6 +19,7 @@ from breakweave.llm.simhash import near_duplicates
 from breakweave.llm.suffix_dedup import remove_repeats
 from breakweave.llm.token_count import token_counts
 from breakweave.llm.token_files import token_files
+from breakweave.llm.top_k import top_k
 from breakweave.llm.url_trust import judge_pages
 
 
@@ -81,6 +82,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("doc_id", *texts, proof, merkle.as_text(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_token_count,
@@ -94,9 +99,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_simhash,
         op10_url_trust,
         op11_merkle_manifest,
+        op12_top_k,
     )
     return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": sql.MIXING, "op10_url_trust": sql.pages(PAGE_RULES), "op11_merkle_manifest": sql.MERKLE}
+    return {"op6_mixing": sql.MIXING, "op10_url_trust": sql.pages(PAGE_RULES), "op11_merkle_manifest": sql.MERKLE, "op12_top_k": sql.TOP_K}

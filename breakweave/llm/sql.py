@@ -97,6 +97,18 @@ SELECT doc_id, o.d AS leaf, subroot, t.d AS root, sha256(proof) AS proof_sha256,
 FROM (SELECT *, max(k) OVER () AS last FROM over_top) o, (SELECT d FROM top WHERE n = 1) t WHERE k = last
 """
 
+TOP_K = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
 
 def pages(rules: list[tuple[str, str, str]], rounds: int = 10, damping: float = 0.85) -> str:
     """Rules and both rankings, round by round."""
