@@ -14,6 +14,7 @@ from breakweave.llm.decontaminate import template_leaks
 from breakweave.llm.media_chunks import media_columns
 from breakweave.llm.mixing import mix_sources
 from breakweave.llm.pii import find_private
+from breakweave.llm.prefix_trie import conversation_trie
 from breakweave.llm.pu_quality import score_quality
 from breakweave.llm.simhash import near_duplicates
 from breakweave.llm.suffix_dedup import remove_repeats
@@ -86,6 +87,10 @@ def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations")).nodes.drop("turn_id", "points")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_token_count,
@@ -100,9 +105,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_url_trust,
         op11_merkle_manifest,
         op12_top_k,
+        op13_prefix_trie,
     )
     return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": sql.MIXING, "op10_url_trust": sql.pages(PAGE_RULES), "op11_merkle_manifest": sql.MERKLE, "op12_top_k": sql.TOP_K}
+    return {"op6_mixing": sql.MIXING, "op10_url_trust": sql.pages(PAGE_RULES), "op11_merkle_manifest": sql.MERKLE, "op12_top_k": sql.TOP_K, "op13_prefix_trie": sql.TRIE}

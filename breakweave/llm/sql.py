@@ -109,6 +109,36 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY rank <= 5
 """
 
+TRIE = f"""
+WITH RECURSIVE {CRC_TABLE}, turns AS (
+  SELECT conv_id, turn, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS x, length(coalesce(text, '')) AS points
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({{'x': x, 'p': points}} ORDER BY turn NULLS FIRST, x) AS s FROM turns GROUP BY conv_id
+), drawn AS (
+  SELECT conv_id, s, {crc32("conv_id::VARCHAR")} % 6 AS h FROM own, crc_table
+), rebuilt AS (
+  SELECT d.conv_id, coalesce(b.s[:h], []) || d.s[h + 1:] AS s FROM drawn d LEFT JOIN own b ON b.conv_id = d.conv_id - d.conv_id % 100
+), prefix AS (
+  SELECT conv_id, depth, len(s) AS turns, sha256(array_to_string(list_transform(s[:depth], lambda e: e.x), '')) AS k,
+    sha256(array_to_string(list_transform(s[:depth - 1], lambda e: e.x), '')) AS up, CASE WHEN depth > 0 THEN s[depth].p ELSE 0 END AS points
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS depth FROM rebuilt)
+), node AS (
+  SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n, any_value(up) AS up, any_value(points) AS points,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = depth), '')) AS ends_sha256
+  FROM prefix GROUP BY depth, k
+), kids AS (
+  SELECT depth - 1 AS depth, up AS k, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1, 2
+), full_node AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM node n LEFT JOIN kids c ON n.depth = c.depth AND n.k = c.k
+), below AS (
+  SELECT p.depth, p.k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n - 1) * f.points) AS saved
+  FROM full_node f JOIN prefix p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY 1, 2
+)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN below b ON f.depth = b.depth AND f.k = b.k LEFT JOIN node u ON f.depth > 0 AND u.depth = f.depth - 1 AND u.k = f.up
+"""
+
 
 def pages(rules: list[tuple[str, str, str]], rounds: int = 10, damping: float = 0.85) -> str:
     """Rules and both rankings, round by round."""
