@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from breakweave.functions import sequence as S
@@ -10,27 +10,100 @@ from breakweave.functions import sequence as S
 #: Bases of a genome tile; a tile also carries `pad` bases on both sides. Every variant has its tile copied next to it
 #: and is cut from it by walking from the tile's start, so tiles are about as short as their pads.
 TILE = 1024
+#: Bases that alleles may have beyond the flank to be cut from one tile; longer ones have their pieces put together.
+SHORT_ALLELE = 64
+
+
+def cut_evenly(seq: Column, size: int) -> Column:
+    """A sequence as an array of pieces of `size` bases, in time that grows with its length alone."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def pieces(genome: DataFrame, size: int = TILE) -> DataFrame:
+    """chr, piece, seq: contigs cut into pieces of `size` bases; a genome that comes in pieces of that size stays as it is."""
+    if "piece" in genome.columns:
+        return genome.select("chr", "piece", "seq")
+    cut = genome.select("chr", F.posexplode(cut_evenly(F.col("seq"), size)).alias("piece", "seq"))
+    return cut.select("chr", F.col("piece").cast("long").alias("piece"), "seq")
 
 
 def tiles(genome: DataFrame, pad: int, size: int = TILE) -> DataFrame:
-    """chr, tile, base, tile_seq: overlapping pieces of each contig, so that no row holds a whole chromosome."""
-    last = ((F.length("seq") - 1) / size).cast("long")
-    cut = genome.where(F.length("seq") > 0).select("chr", "seq", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("tile"))
+    """chr, tile, base, tile_seq: each piece of `size` bases with `pad` bases of its neighbours on both sides.
+
+    A genome is either (chr, seq), whose rows are cut where they are, or (chr, piece, seq) with pieces of `size` bases,
+    of which each sends its neighbours the bases that they need: then no row ever holds a contig. Both take time and
+    space in proportion to the contigs' lengths.
+    """
+    reach = -(-pad // size)
     base = F.greatest(F.col("tile") * size - pad, F.lit(0))
-    return cut.select("chr", "tile", base.alias("base"), S.fetch(F.col("seq"), base, (F.col("tile") + 1) * size + pad).alias("tile_seq"))
+    if "piece" not in genome.columns:
+        cut = genome.select("chr", cut_evenly(F.col("seq"), size).alias("cut"))
+
+        def beside(c: Column, t: Column) -> Column:
+            first = F.greatest(t - reach, F.lit(0))
+            before = F.right(F.array_join(F.slice("cut", first + 1, t - first), ""), F.lit(pad))
+            return F.concat(before, c, F.left(F.array_join(F.slice("cut", t + 2, F.lit(reach)), ""), F.lit(pad)))
+
+        each = cut.select("chr", F.posexplode(F.transform("cut", beside)).alias("tile", "tile_seq"))
+        return each.select("chr", F.col("tile").cast("long").alias("tile"), "tile_seq").select("chr", "tile", base.alias("base"), "tile_seq")
+    sent = genome.select("chr", "piece", "seq", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("off")).where("piece + off >= 0")
+    room = F.lit(pad) - (F.abs("off") - 1) * size
+    part = F.when(F.col("off") == 0, F.col("seq")).when(F.col("off") > 0, F.right("seq", F.least(room, F.lit(size)))).otherwise(F.left("seq", F.least(room, F.lit(size))))
+    parts = sent.where("off = 0 or length(seq) > 0").select("chr", (F.col("piece") + F.col("off")).alias("tile"), F.struct((-F.col("off")).alias("at"), part.alias("seq")).alias("part"))
+    joined = parts.groupBy("chr", "tile").agg(F.sort_array(F.collect_list("part")).alias("parts")).where(F.exists("parts", lambda x: x["at"] == 0))
+    return joined.select("chr", "tile", base.alias("base"), F.array_join(F.transform("parts", lambda x: x["seq"]), "").alias("tile_seq"))
 
 
-def with_tile(variants: DataFrame, genome: DataFrame, pad: int, size: int = TILE, deal: bool = False) -> DataFrame:
-    """Variants with the tile that their position lies in (base, tile_seq); an equality join on chr and tile.
+def with_tile(variants: DataFrame, genome: DataFrame, flank: int, span: Column | None = None, longest: int | None = None, size: int = TILE, deal: bool = False) -> DataFrame:
+    """Variants with the bases around them: tile_seq, which starts at base number `base` of the contig (from 0).
+
+    It holds `flank` + `span` bases at least on both sides of pos, as far as the contig goes; `span` is the row's
+    allele length (0 if not given). Rows are joined with the tile that pos lies in, by chr and tile; those whose span is
+    above SHORT_ALLELE have all pieces that they reach put together instead. Where the caller knows the longest span,
+    that second way is left out, tiles are padded accordingly, and a row above it is an error, never cut short.
+    Rows off their contig go.
 
     With deal=True the variants are dealt by chr and tile first, so that those of a few files make use of all tasks. The
     number of parts is given: rows are narrow before the join and wide after it, so their size must not decide.
     """
-    placed = variants.withColumn("tile", (F.col("pos") / size).cast("long"))
+    tile = (F.col("pos") / size).cast("long")
+    if span is not None and longest is not None:
+        tile = F.when(span > longest, F.raise_error(F.lit(f"an allele is longer than {longest}")).cast("long")).otherwise(tile)
+    placed = variants.withColumn("tile", tile)
+    pad = flank if span is None else flank + (SHORT_ALLELE if longest is None else longest)
+    far = None
+    if span is not None and longest is None:
+        far = _put_together(variants.where(span > SHORT_ALLELE), genome, F.lit(flank) + span, size)
+        placed = placed.where(F.coalesce(span <= SHORT_ALLELE, F.lit(True)))
     if deal:
         parts = int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         placed = placed.repartition(parts, "chr", "tile")
-    return placed.join(tiles(genome, pad, size), ["chr", "tile"]).drop("tile")
+    near = placed.join(tiles(genome, pad, size), ["chr", "tile"]).drop("tile")
+    return near if far is None else near.unionByName(far.select(*near.columns))
+
+
+def contig_lengths(genome: DataFrame) -> DataFrame:
+    """chr, length of a genome in contigs or in pieces."""
+    return genome.groupBy("chr").agg(F.sum(F.length("seq").cast("long")).alias("length"))
+
+
+def contig_heads(genome: DataFrame, n: int, size: int = TILE) -> DataFrame:
+    """chr, head: the first n bases of every contig of a genome in contigs or in pieces."""
+    if "piece" not in genome.columns:
+        return genome.select("chr", F.left("seq", F.lit(n)).alias("head"))
+    parts = genome.where(F.col("piece") * size < n).groupBy("chr").agg(F.sort_array(F.collect_list(F.struct("piece", "seq"))).alias("parts"))
+    return parts.select("chr", F.left(F.array_join(F.transform("parts", lambda p: p["seq"]), ""), F.lit(n)).alias("head"))
+
+
+def _put_together(rows: DataFrame, genome: DataFrame, reach: Column, size: int) -> DataFrame:
+    """base and tile_seq of rows that reach over many pieces; a row gathers no more than it asks for."""
+    columns = rows.columns
+    first = F.greatest(((F.col("pos") - reach) / size).cast("long"), F.lit(0).cast("long"))
+    each = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("piece", F.explode(F.sequence(first, ((F.col("pos") + reach) / size).cast("long"))))
+    met = each.join(pieces(genome, size), ["chr", "piece"])
+    whole = met.groupBy("_row", "chr", *[c for c in columns if c != "chr"]).agg(F.sort_array(F.collect_list(F.struct("piece", "seq"))).alias("_pieces"))
+    on_contig = whole.where((F.col("pos") / size).cast("long") <= F.element_at("_pieces", -1)["piece"])
+    return on_contig.withColumn("base", F.col("_pieces")[0]["piece"] * size).withColumn("tile_seq", F.array_join(F.transform("_pieces", lambda x: x["seq"]), "")).drop("_row", "_pieces")
 
 
 def drop_snps(variants: DataFrame, a: str = "ref", b: str = "alt") -> DataFrame:

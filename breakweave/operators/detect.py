@@ -20,10 +20,12 @@ from breakweave.operators.cleaning import describe, with_tile
 MH_REACH = 19
 
 
-def with_context(variants: DataFrame, genome: DataFrame, window: int = 50) -> DataFrame:
-    """Adds up, down, indel and around (1000 bases on both sides). Keys and lengths come from `describe`."""
-    pad = max(S.LARGE_WINDOW, window) + 128
-    near = with_tile(describe(variants), genome, pad)
+def with_context(variants: DataFrame, genome: DataFrame, window: int = 50, longest: int | None = None) -> DataFrame:
+    """Adds up, down, indel and around (1000 bases on both sides). Keys and lengths come from `describe`.
+
+    `longest`: the longest indel, if known, see `with_tile`.
+    """
+    near = with_tile(describe(variants), genome, max(S.LARGE_WINDOW, window + 1), F.col("indel_len"), longest)
     base, seq, pos, n = F.col("base"), F.col("tile_seq"), F.col("pos"), F.col("indel_len")
     wide = F.lit(window) + n
     deleted = F.col("indel_type") == "DEL"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from breakweave.functions import sequence as S
+from breakweave.operators.cleaning import TILE, cut_evenly, tiles
 
 BASES = "ACGT"
 EPSILON = 1e-6
@@ -24,21 +25,42 @@ CODE[[ord(b) for b in BASES]] = range(4)
 
 
 def trimer_counts(contexts: DataFrame, key: str = "id") -> DataFrame:
-    """key, dimer, base, n: how often each base follows each dimer; windows with other letters don't count."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("context") - 2, F.lit(1))), lambda i: F.substring("context", i, F.lit(3)))
-    each = contexts.where(F.length("context") >= 3).select(key, F.explode(grams).alias("g")).where(~F.col("g").rlike("[^ACGT]"))
-    return each.groupBy(key, F.left("g", F.lit(2)).alias("dimer"), F.right("g", F.lit(1)).alias("base")).agg(F.count(F.lit(1)).alias("n"))
+    """key, dimer, base, n: how often each base follows each dimer; windows with other letters don't count.
+
+    Contexts of any length are cut into tiles that overlap by two bases; counts add up.
+    """
+    cut = contexts.select(key, cut_evenly(F.col("context"), TILE).alias("cut"))
+    overlapped = F.transform("cut", lambda c, k: F.concat(c, F.coalesce(F.left(F.get("cut", k + 1), F.lit(2)), F.lit(""))))
+    return _counted(cut.select(key, F.explode(overlapped).alias("tile")), key)
+
+
+def genome_trimers(genome: DataFrame, size: int = TILE) -> DataFrame:
+    """chr, dimer, base, n of whole contigs, which may come in pieces."""
+    own = F.substring("tile_seq", (F.col("tile") * size - F.col("base") + 1).cast("int"), F.lit(size + 2))
+    return _counted(tiles(genome, 2, size).select("chr", own.alias("tile")), "chr")
+
+
+def _counted(tiled: DataFrame, key: str) -> DataFrame:
+    # A look-ahead finds overlapping trimers in one walk.
+    each = tiled.select(key, F.explode(F.regexp_extract_all("tile", F.lit("(?=([ACGT]{3}))"), F.lit(1))).alias("g"))
+    grams = each.groupBy(key, "g").agg(F.count(F.lit(1)).alias("n"))
+    return grams.select(key, F.left("g", F.lit(2)).alias("dimer"), F.right("g", F.lit(1)).alias("base"), "n")
 
 
 def transition_table(contexts: DataFrame, key: str = "id") -> DataFrame:
     """key, dimer, base, p for all 64 pairs of each key: counts plus EPSILON, as shares of the dimer's row."""
-    spark = contexts.sparkSession
+    return shares(trimer_counts(contexts, key), contexts.select(key).distinct(), key)
+
+
+def shares(counts: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Counts (key, dimer, base, n) as `transition_table` gives them, for all `keys`."""
+    spark = keys.sparkSession
     pairs = spark.range(64).select(
         F.concat(F.get(F.array(*map(F.lit, BASES)), (F.col("id") / 16).cast("int")), F.get(F.array(*map(F.lit, BASES)), (F.col("id") / 4 % 4).cast("int"))).alias("dimer"),
         F.get(F.array(*map(F.lit, BASES)), (F.col("id") % 4).cast("int")).alias("base"),
     )
-    grid = contexts.select(key).distinct().join(F.broadcast(pairs))  # 64 rows are broadcast
-    full = grid.join(trimer_counts(contexts, key), [key, "dimer", "base"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + EPSILON)
+    grid = keys.join(F.broadcast(pairs))  # 64 rows are broadcast
+    full = grid.join(counts, [key, "dimer", "base"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + EPSILON)
     return full.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(key, "dimer"))).select(key, "dimer", "base", "p")
 
 

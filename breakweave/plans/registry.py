@@ -53,7 +53,7 @@ def cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contexts(spark: SparkSession, d: str) -> DataFrame:
-    return detect.with_context(cleaned(spark, d), world.genome(spark, d))
+    return detect.with_context(cleaned(spark, d), world.genome(spark, d), longest=world.LONGEST)
 
 
 def deletions(spark: SparkSession, d: str) -> DataFrame:
@@ -230,7 +230,7 @@ def p16_p20_gaps_and_melting(spark: SparkSession, d: str) -> DataFrame:
     FROM shifts"""
 )
 def r1_realign(spark: SparkSession, d: str) -> DataFrame:
-    rows = realign.realign(cleaned(spark, d), world.genome(spark, d))
+    rows = realign.realign(cleaned(spark, d), world.genome(spark, d), longest=world.LONGEST)
     return rows.select(S.variant_id(F.col("chr"), F.col("original_pos")).alias("variant_id"), "pos", F.col("realign_idx").cast("long").alias("realign_idx"), "anc", "der")
 
 
@@ -306,7 +306,7 @@ def m6_display(spark: SparkSession, d: str) -> DataFrame:
     SELECT id, left(g, 2) AS dimer, right(g, 1) AS base, CAST(count(*) AS BIGINT) AS n FROM grams WHERE NOT contains(g, 'N') GROUP BY ALL"""
 )
 def k2_trimer_counts(spark: SparkSession, d: str) -> DataFrame:
-    return markov.trimer_counts(world.genome(spark, d).select(F.col("chr").alias("id"), F.col("seq").alias("context")))
+    return markov.genome_trimers(world.genome(spark, d)).withColumnRenamed("chr", "id")
 
 
 @query(
@@ -319,8 +319,9 @@ def k2_trimer_counts(spark: SparkSession, d: str) -> DataFrame:
     SELECT id, dimer, base, round(n / sum(n) OVER (PARTITION BY id, dimer), 9) AS p FROM filled"""
 )
 def k3_transition_table(spark: SparkSession, d: str) -> DataFrame:
-    table = markov.transition_table(world.genome(spark, d).select(F.col("chr").alias("id"), F.col("seq").alias("context")))
-    return table.withColumn("p", F.round("p", 9))
+    contigs = world.genome(spark, d)
+    table = markov.shares(markov.genome_trimers(contigs), contigs.select("chr").distinct(), "chr")
+    return table.select(F.col("chr").alias("id"), "dimer", "base", F.round("p", 9).alias("p"))
 
 
 @query(None)
@@ -331,7 +332,7 @@ def k10_markov_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def k_combined_scores(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.scored(world.variants(spark, d), world.genome(spark, d))
+    return pipeline.scored(world.variants(spark, d), world.genome(spark, d), longest=world.LONGEST)
 
 
 GEOMETRIC = DELETIONS + """, g AS (
@@ -540,7 +541,7 @@ def a6_share_against(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def a7_a11_bootstrap_summary(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.bootstrapped(pipeline.scored(world.variants(spark, d), world.genome(spark, d)), 500, 5)
+    return pipeline.bootstrapped(pipeline.scored(world.variants(spark, d), world.genome(spark, d), longest=world.LONGEST), 500, 5)
 
 
 HASHED = "('0x' || substr(md5({0}), 1, 7))::BIGINT % 1000000 / 1000000.0"
@@ -703,7 +704,7 @@ def v7_pattern_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def v8_mechanism_proportions(spark: SparkSession, d: str) -> DataFrame:
-    scores = pipeline.scored(world.variants(spark, d), world.genome(spark, d)).persist()
+    scores = pipeline.scored(world.variants(spark, d), world.genome(spark, d), longest=world.LONGEST).persist()
     return evaluate.proportions(scores, "mmej", "del_mmej_lk", "del_p_val", 0.05).unionByName(evaluate.proportions(scores, "snap", "SD_snap_lk", "snap_p_val", 0.05))
 
 

@@ -18,6 +18,8 @@ BASES = ("ACGT" * 7)[: len(ALPHABET)]
 DOCS = 16
 #: Only contigs longer than this have variants, which stay at least 1000 bp from their ends.
 SHORTEST = 2300
+#: No allele is longer.
+LONGEST = 31
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
