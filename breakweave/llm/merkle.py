@@ -137,13 +137,13 @@ class Manifest:
 def manifest(rows: DataFrame, group: Column, order: Column, leaf: Column, load: dict[str, Column], fan: int = 3) -> Manifest:
     """Trees over all `rows`: leaves of a group ascend by `order`, groups by `group` (null first, then by UTF-8 bytes).
 
-    `leaf` is a row's digest (binary), `load` holds columns that travel with it. Null orders come first; rows of equal
+    `leaf` is a row's digest (binary), `load` holds columns that travel with it, or else its order does. Null orders come first; rows of equal
     order ascend by their digests, and rows that repeat each other are leaves of their own. A group of one row is its
     own root. An empty table has no node. Columns of `rows` that nothing names stay unread.
     """
     spark = rows.sparkSession
     tree = F.when(group.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), group.cast("string")))
-    picked = rows.select(tree.alias("tree"), order.alias("_order"), leaf.alias("digest"), F.struct(*[c.alias(n) for n, c in load.items()]).alias("load"))
+    picked = rows.select(tree.alias("tree"), order.alias("_order"), leaf.alias("digest"), F.struct(*[c.alias(n) for n, c in (load or {"order": order}).items()]).alias("load"))
     leaves = ranked(materialise(picked, spark, "merkle-leaves"), "tree", ["_order", "digest"], "merkle")
     groups = forest(leaves.drop("_order"), fan, "merkle")
     tops = groups.roots().select(F.lit("").alias("tree"), F.col("tree").alias("_order"), "digest", F.struct(F.col("tree").alias("group")).alias("load"))

@@ -1,12 +1,13 @@
 """Personal data by fixed patterns and bootstrapped contexts, in DataFrame operations only.
 
-Spans of e-mail addresses, IP addresses, card and phone numbers, and keys (long hexadecimal strings), are the seed
-entities. Every other token that holds a digit or an @ is an instance that may be one. The words around an entity or
-instance are its lexical patterns: the word or two before it, the word after it, the words on both sides. Patterns
-and instances form a graph that is scored in rounds. A pattern is as good for a kind as the share of trusted ones
-among its distinct instances that could be of that kind; an instance is as good as its best pattern; instances that
-good patterns reach are trusted in the next round and found patterns of their own. Tokens that stand in a
-high-confidence pattern in the end are the identifiers that the contexts discover.
+Spans of e-mail addresses, IP addresses, card and phone numbers, and a part of the keys (long hexadecimal strings), are
+the seed entities. Every other token that holds a digit or an @ is an instance that may be one. The words around an
+entity or instance are its lexical patterns: the word or two before it, the word after it, the words on both sides.
+Patterns and instances form a graph that is scored in rounds. A pattern is as good for a kind as the share of trusted
+instances among all tokens that stand in it anywhere in the corpus, so that words like `the`, before a few numbers and
+much else, fall out; an instance is as good as its best pattern; instances that good patterns reach are trusted in the
+next round and found patterns of their own. Tokens that stand in a high-confidence pattern in the end are the
+identifiers that the contexts discover. Keys outside the seeds' part are only found that way, which measures recall.
 """
 
 from __future__ import annotations
@@ -138,11 +139,12 @@ def could_be(token: Column) -> Column:
     return F.filter(F.array(*[F.when(test, F.lit(kind)) for kind, test in tests]), lambda k: k.isNotNull())
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
+def occurrences(rows: DataFrame, seed_share: float = 0.8) -> DataFrame:
     """A row for each instance and pattern: row, start, end, token, kind (of the seed that it is), kinds (it could be), pattern.
 
     A seed of several tokens is one instance, with the words before its first and after its last token. Around other
-    tokens quotes and marks are cut off. Missing neighbours make no pattern.
+    tokens quotes and marks are cut off. Missing neighbours make no pattern. Of the keys, those whose hash falls into the
+    first `seed_share` of its range are seeds.
     """
     each = rows.where(F.size("tokens") > 0).select("row", *KINDS, F.explode("tokens").alias("t"))
     hits = F.concat(*[F.transform(F.filter(k, lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))), seeded(k)) for k in KINDS])
@@ -150,7 +152,8 @@ def occurrences(rows: DataFrame) -> DataFrame:
     head = F.length(F.regexp_extract("t.token", r"^[^\p{L}\p{N}+(@]*", 0))
     bare = F.regexp_replace("t.token", r"^[^\p{L}\p{N}+(@]+|[^\p{L}\p{N})]+$", "")
     each = each.withColumn("bare", bare).withColumn("head", head).where("seed is not null or bare <> ''")
-    own = F.when(F.col("bare").rlike(SEED_SECRET), F.lit("secret"))
+    sown = F.pmod(F.crc32(F.lower("bare")), F.lit(1000)) < int(1000 * seed_share)
+    own = F.when(F.col("bare").rlike(SEED_SECRET) & sown, F.lit("secret"))
     first, final = F.col("seed").isNull() | (F.col("t.start") <= F.col("seed.start")), F.col("seed").isNull() | (F.col("t.end") >= F.col("seed.end"))
     pattern = lambda tag, *words: F.when(F.forall(F.array(*words), lambda w: w != ""), F.concat_ws(" ", F.lit(tag), *words))
     patterns = F.array(
@@ -176,26 +179,41 @@ def seeded(kind: str) -> Callable[[Column], Column]:
     return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"))
 
 
-def good_patterns(seen: DataFrame, rounds: int, least: float, support: int) -> DataFrame:
+def totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, total: how many tokens of any form stand in each of the `patterns` (a row each) in all texts."""
+    words = docs.select(F.split(F.lower(F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\s+", " "))), " ").alias("w"))
+    # A word with the two after it; at a text's end the missing ones are null, and concat() gives no pattern.
+    three = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 1 << 30).alias("b"), F.slice("w", 3, 1 << 30).alias("c"))).alias("t")).where("t.b is not null")
+    a, b, c = F.col("t.a"), F.col("t.b"), F.col("t.c")
+    each = three.select(F.explode(F.array(F.concat(F.lit("before "), a), F.concat(F.lit("before2 "), F.when(c.isNotNull(), a), F.lit(" "), b), F.concat(F.lit("after "), b), F.concat(F.lit("around "), a, F.lit(" "), c))).alias("pattern"))
+    return hot_join(each.where("pattern is not null"), patterns, ["pattern"]).groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+
+
+def good_patterns(seen: DataFrame, docs: DataFrame, rounds: int, least: float, support: int) -> DataFrame:
     """pattern, kind, score: patterns of high confidence, once for each kind that they are good for.
 
-    Counts are over distinct instances, aggregated before the shuffle. In a round a pattern's score for a kind is the
-    sum of its instances' trust over their number, if at least `support` of them are trusted. What it reaches has its
-    score as trust from then on, so that instances found in one round found patterns in the next.
+    Counts are over occurrences, aggregated before the shuffle. In a round a pattern's score for a kind is the sum of the
+    trust in what stands in it over the number of all tokens that do, if at least `support` different ones are trusted.
+    What it reaches has its score as trust from then on, so that instances found in one round found patterns in the next.
     """
     spark = seen.sparkSession
     kinds = F.when(F.col("kind").isNotNull(), F.array("kind")).otherwise(F.col("kinds"))
     each = seen.where("pattern is not null").select("pattern", "token", F.explode(kinds).alias("kind"), F.col("kind").isNotNull().cast("double").alias("seed"))
-    edges = materialise(each.groupBy("pattern", "token", "kind").agg(F.max("seed").alias("seed")), spark, "pii-graph")
+    edges = materialise(each.groupBy("pattern", "token", "kind").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), spark, "pii-edges")
+    # Without `support` instances, whatever their trust, a pattern is never good: it is not counted in the texts.
+    wide = edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("tokens")).where(F.col("tokens") >= support).select("pattern").distinct()
+    counted = materialise(totals(docs, materialise(wide, spark, "pii-wide")), spark, "pii-totals")
+    edges = materialise(hot_join(edges, counted, ["pattern"]), spark, "pii-graph")
     trusted = edges.where("seed > 0").select("token", "kind", "seed").distinct().withColumnRenamed("seed", "trust")
     for k in range(rounds):
         scored = (
             edges.join(trusted, ["token", "kind"], "left")
             .withColumn("trust", F.coalesce("trust", F.lit(0.0)))
             .groupBy("pattern", "kind")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("trust").alias("s"), F.count_if(F.col("trust") >= least).alias("sure"))
-            .where((F.col("sure") >= support) & (F.col("s") >= least * F.col("n")))
-            .select("pattern", "kind", (F.col("s") / F.col("n")).alias("score"))
+            .agg(F.max("total").alias("total"), F.sum(F.col("trust") * F.col("n")).alias("s"), F.count_if(F.col("trust") >= least).alias("sure"))
+            # A seed of several tokens is one occurrence, its words are more: no score is above 1.
+            .where((F.col("sure") >= support) & (F.col("s") >= least * F.col("total")))
+            .select("pattern", "kind", F.least(F.col("s") / F.col("total"), F.lit(1.0)).alias("score"))
         )
         scored = materialise(scored, spark, "pii-patterns")
         if k + 1 < rounds:
@@ -209,7 +227,7 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def find_private(docs: DataFrame, rounds: int = 3, least: float = 0.5, support: int = 3) -> DataFrame:
+def find_private(docs: DataFrame, rounds: int = 3, least: float = 0.4, support: int = 3, seed_share: float = 0.8) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found for every document.
 
     Base spans are the patterns' matches; discovered spans are added under the kind that their pattern is good for
@@ -218,8 +236,8 @@ def find_private(docs: DataFrame, rounds: int = 3, least: float = 0.5, support:
     """
     spark = docs.sparkSession
     rows = materialise(scanned(docs), spark, "pii-spans")
-    seen = occurrences(rows)
-    good = good_patterns(seen, rounds, least, support)
+    seen = occurrences(rows, seed_share)
+    good = good_patterns(seen, docs, rounds, least, support)
     order = F.array(*map(F.lit, FOUND_KINDS))
     may = seen.where("not base and pattern is not null").withColumn("kind", F.explode(F.when(F.col("kind").isNotNull(), F.array("kind")).otherwise(F.col("kinds"))))
     fresh = hot_join(may, good, ["pattern", "kind"])

@@ -93,7 +93,7 @@ def _sorted_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """dims, block, vectors, places, ids: packed blocks of rows (dims, block, entries)."""
     for batch in batches:
         for row in batch.to_pylist():
-            vectors = np.array([e["vector"] for e in row["entries"]], "<i8").reshape(-1, row["dims"])
+            vectors = np.array([e["vector"] for e in row["entries"]], "<i8").reshape(len(row["entries"]), row["dims"])
             places = np.argsort(vectors, axis=0, kind="stable").astype("<i4")
             yield pa.RecordBatch.from_pylist([{"dims": row["dims"], "block": row["block"], "vectors": vectors.tobytes(), "places": places.tobytes(), "ids": [e["ids"] for e in row["entries"]]}], LISTS)
 

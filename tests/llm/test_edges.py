@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -58,20 +59,34 @@ def test_token_parts_of_one_hot_id(spark, parts, monkeypatch):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
 
 
-def plain_scores(rows, rounds, least, support):
+def plain_totals(texts):
+    """Tokens in every pattern, word by word."""
+    n = Counter()
+    for text in texts:
+        w = re.split(r"[ \t\n\x0b\f\r]+", (text or "").strip(" \t\n\x0b\f\r").lower())
+        for i in range(len(w)):
+            n.update([f"before {w[i]}"] * (i + 1 < len(w)) + [f"after {w[i]}"] * (i > 0))
+            if i + 2 < len(w):
+                n.update([f"before2 {w[i]} {w[i + 1]}", f"around {w[i]} {w[i + 2]}"])
+    return n
+
+
+def plain_scores(rows, texts, rounds, least, support):
     """Good patterns by dictionaries: the whole graph in every round."""
-    edges = defaultdict(float)
+    edges, times, totals = defaultdict(float), Counter(), plain_totals(texts)
     for r in rows:
         for kind in [r["kind"]] if r["kind"] else r["kinds"]:
             if r["pattern"]:
                 key = (r["pattern"], r["token"], kind)
                 edges[key] = max(edges[key], float(r["kind"] is not None))
+                times[key] += 1
     trust = {(t, k): 1.0 for (_, t, k), seed in edges.items() if seed}
     for _ in range(rounds):
-        by = defaultdict(list)
+        by, sure = defaultdict(float), Counter()
         for p, t, k in edges:
-            by[p, k].append(trust.get((t, k), 0.0))
-        good = {x: sum(v) / len(v) for x, v in by.items() if sum(y >= least for y in v) >= support and sum(v) >= least * len(v)}
+            by[p, k] += trust.get((t, k), 0.0) * times[p, t, k]
+            sure[p, k] += trust.get((t, k), 0.0) >= least
+        good = {x: min(v / totals[x[0]], 1.0) for x, v in by.items() if totals[x[0]] and sure[x] >= support and v >= least * totals[x[0]]}
         trust = {(t, k): 1.0 for (_, t, k), seed in edges.items() if seed}
         for p, t, k in edges:
             if (p, k) in good:
@@ -128,12 +143,89 @@ def test_pattern_scores_against_brute_force(spark, rounds):
     rng = random.Random(7)
     rows += [(1000 + k, rng.choice(["phone:", "dial", "contact"]) + f" {rng.choice(['030-12345', '040-7654321', 'a1@b.c', 'x[at]y9', '12345678'])} " + rng.choice(["now", "x"])) for k in range(60)]
     rows += [(None, "phone: 030-12345"), (1, None), (2, ""), (5000, "dial 030-99999 " * 3000)]
-    seen = pii.occurrences(pii.scanned(spark.createDataFrame(rows, "doc_id long, text string")))
-    good = {(r["pattern"], r["kind"]): round(r["score"], 12) for r in pii.good_patterns(seen, rounds, 0.6, 3).collect()}
-    assert good == {k: round(v, 12) for k, v in plain_scores(seen.collect(), rounds, 0.6, 3).items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = pii.occurrences(pii.scanned(docs))
+    good = {(r["pattern"], r["kind"]): round(r["score"], 12) for r in pii.good_patterns(seen, docs, rounds, 0.6, 3).collect()}
+    assert good == {k: round(v, 12) for k, v in plain_scores(seen.collect(), [t for _, t in rows], rounds, 0.6, 3).items()}
     assert good
 
 
+BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+]
+
+
+def plain_private(rows, share=0.8, rounds=3, least=0.4, support=3):
+    """All spans of (id, text) by loops and dictionaries; ids are unique, texts hold plain spaces."""
+    seen, spans, places = [], {}, []
+    for k, text in rows:
+        base = [(n, m.start(), m.end(), kind, m[0]) for n, (kind, p, ok) in enumerate(BASE) for m in re.finditer(p, text) if ok(m[0])]
+        spans[k] = [x[:3] for x in base]
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+", text)]
+        for i, (a, b, w) in enumerate(words):
+            if not re.search("[0-9@]", w):
+                continue
+            hit = next((x for x in base if x[1] < b and x[2] > a), None)
+            head = len(re.match(r"[^a-zA-Z0-9+(@]*", w)[0])
+            bare = re.sub(r"^[^a-zA-Z0-9+(@]+|[^a-zA-Z0-9)]+$", "", w)
+            own = "secret" if re.search(pii.SEED_SECRET, bare) and zlib.crc32(bare.lower().encode()) % 1000 < 1000 * share else None
+            kind = hit[3] if hit else own
+            n, letters, marked = len(re.sub("[^0-9]", "", bare)), len(re.sub("[^a-zA-Z]", "", bare)), bool(re.search(r"@|\[at\]|\(at\)", bare))
+            may = [] if kind else [x for x, test in [("email", marked and letters), ("ip", not letters and re.search(r"^[0-9]+([.:,][0-9]+){3,}$", bare)), ("card", not letters and 12 <= n <= 19),
+                ("phone", not letters and 6 <= n <= 15 and not re.search(r"^[0-9]+(\.[0-9]+){3}$", bare)), ("secret", not marked and letters and n and len(bare) >= 12)] if test]
+            low = lambda j: words[j][2].lower()
+            first, last = not hit or a <= hit[1], not hit or b >= hit[2]
+            before, after = first and i > 0, last and i + 1 < len(words)
+            patterns = [f"before {low(i - 1)}"] * before + [f"before2 {low(i - 2)} {low(i - 1)}"] * (before and i > 1) + [f"after {low(i + 1)}"] * after + [f"around {low(i - 1)} {low(i + 1)}"] * (before and after) if before or after else []
+            for pattern in patterns:
+                seen.append({"pattern": pattern, "token": (hit[4] if hit else bare).lower(), "kind": kind, "kinds": may})
+                if not hit:
+                    places.append((k, a + head, a + head + len(bare), pattern, [kind] if kind else may))
+    good = plain_scores(seen, [t for _, t in rows], rounds, least, support)
+    best = {}
+    for k, a, b, pattern, may in places:
+        for kind in may:
+            if (pattern, kind) in good:
+                score = (good[pattern, kind], -pii.FOUND_KINDS.index(kind))
+                best[k, a, b] = max(best.get((k, a, b), score), score)
+    for (k, a, b), (_, n) in best.items():
+        spans[k].append((-n, a, b))
+    return {k: ",".join(f"{pii.FOUND_KINDS[n]}:{a}:{b}" for n, a, b in sorted(x)) for k, x in spans.items()}
+
+
+def noise(rng, n):
+    """Numbers of card length, right and wrong ones, and addresses after words that stand before everything."""
+    rows = []
+    for k in range(n):
+        number = "".join(rng.choice("0123456789") for _ in range(16))
+        what = rng.choice([number, "4111111111111111", f"10.0.0.{k}", f"u{k}@x.org", str(k)])
+        rows.append((10_000 + k, f"in {rng.choice(['the', 'of', 'and'])} {what} and the sea of the night and of the day"))
+    return rows
+
+
+def test_spans_against_a_plain_program(spark):
+    rows, hidden = people(random.Random(8), 480)
+    rows += noise(random.Random(9), 200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["spans"] for r in pii.find_private(docs).collect()}
+    assert got == plain_private(rows)
+    assert sum(v in got[k].split(",") for k, v in hidden.items()) >= 0.9 * len(hidden)
+    fixed = plain_private(rows, support=10**9)
+    assert all(got[k] == fixed[k] for k in range(10_000, 10_200))  # nothing is found after `the`, `of`, `and`
+
+
+def test_keys_that_are_no_seeds_are_found_by_their_contexts(spark):
+    rng = random.Random(10)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) + "a1" for _ in range(200)]
+    rows = [(k, f"and so the {rng.choice(['token =', 'api key', 'secret:'])} {x} of the night") for k, x in enumerate(keys)] + noise(rng, 300)
+    got = {r["doc_id"]: r["spans"] for r in pii.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    withheld = [k for k, x in enumerate(keys) if zlib.crc32(x.encode()) % 1000 >= 800]
+    assert len(withheld) > 25 and sum("secret:" in got[k] for k in withheld) >= 0.9 * len(withheld)
+
+
 def test_quality_of_many_parts_and_few_labels(spark, monkeypatch):
     monkeypatch.setattr(pu_quality, "PART_ROWS", 100)
     rng = random.Random(8)
