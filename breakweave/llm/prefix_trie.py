@@ -152,8 +152,8 @@ NODE = pa.schema([("node", KEY), ("up", KEY), ("turn_id", pa.int64()), ("points"
 NODE_TYPE = "node struct<depth: long, k1: long, k2: long>, up struct<depth: long, k1: long, k2: long>, turn_id long, points long, n long, least long, n_children long, n_leaves long, saved long, open boolean, up_least long"
 
 
-def summed(tree: TernaryTree, segment: int, hashes: dict[tuple[int, int], tuple[int, int]], k1: int, k2: int) -> list[dict]:
-    """The tree's nodes as rows of NODE; of an open node, children, leaves and savings count what hangs from closed children only."""
+def summed(tree: TernaryTree, start: int, hashes: dict[tuple[int, int], tuple[int, int]], k1: int, k2: int) -> list[dict]:
+    """The nodes of a tree whose root has depth `start`, as rows of NODE; of an open node, children, leaves and savings count what hangs from closed children only."""
     order = tree.nodes()
     size = len(tree.turn)
     n, least, children, leaves, saved = [0] * size, [None] * size, [0] * size, [0] * size, [0] * size
@@ -179,13 +179,13 @@ def summed(tree: TernaryTree, segment: int, hashes: dict[tuple[int, int], tuple[
     keys: list = [None] * size
     rows = []
     for node, parent, depth in order:
-        at = segment * SEGMENT + depth
+        at = start + depth
         if parent < 0:
             keys[node] = {"depth": at, "k1": k1, "k2": k2}
         else:
             a, b = hashes[at - 1, tree.turn[node]]
             keys[node] = {"depth": at, "k1": keys[parent]["k1"] ^ a, "k2": keys[parent]["k2"] ^ b}
-        below = parent < 0 and segment > 0  # its members are counted where the segment above ends
+        below = parent < 0 and start > 0  # its members are counted where the segment above ends
         rows.append({
             "node": keys[node], "up": None if parent < 0 else keys[parent], "turn_id": tree.turn[node], "points": None if parent < 0 else tree.points[node], "n": 0 if below else n[node], "least": None if below else least[node],
             "n_children": children[node], "n_leaves": leaves[node], "saved": saved[node], "open": is_open[node], "up_least": None if parent < 0 or is_open[parent] else least[parent],
@@ -193,25 +193,29 @@ def summed(tree: TernaryTree, segment: int, hashes: dict[tuple[int, int], tuple[
     return rows
 
 
-def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard's items, in order, to rows of NODE."""
-    items = [row for batch in batches for row in batch.to_pylist()]
-    at = 0
-    while at < len(items):
-        key = (items[at]["segment"], items[at]["k1"], items[at]["k2"])
-        end = at
-        while end < len(items) and (items[end]["segment"], items[end]["k1"], items[end]["k2"]) == key:
-            end += 1
-        tree, hashes = TernaryTree(), {}
-        for k in medians_first(end - at):
-            item = items[at + k]
-            tree.insert(item["ids"], item["points"], item["n"], item["least"], item["goes_on"], at + k in (0, len(items) - 1))
-            for pos, (turn, a, b) in enumerate(zip(item["ids"], item["h1"], item["h2"], strict=True), key[0] * SEGMENT):
-                hashes[pos, turn] = (a, b)
-        rows = summed(tree, key[0], hashes, key[1], key[2])
-        for k in range(0, len(rows), 4096):
-            yield pa.RecordBatch.from_pylist(rows[k : k + 4096], NODE)
-        at = end
+def _shard(length: int):
+    """One shard's items, in order, to rows of NODE; segments have `length` turns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = [row for batch in batches for row in batch.to_pylist()]
+        at = 0
+        while at < len(items):
+            key = (items[at]["segment"], items[at]["k1"], items[at]["k2"])
+            end = at
+            while end < len(items) and (items[end]["segment"], items[end]["k1"], items[end]["k2"]) == key:
+                end += 1
+            tree, hashes, start = TernaryTree(), {}, key[0] * length
+            for k in medians_first(end - at):
+                item = items[at + k]
+                tree.insert(item["ids"], item["points"], item["n"], item["least"], item["goes_on"], at + k in (0, len(items) - 1))
+                for pos, (turn, a, b) in enumerate(zip(item["ids"], item["h1"], item["h2"], strict=True), start):
+                    hashes[pos, turn] = (a, b)
+            rows = summed(tree, start, hashes, key[1], key[2])
+            for k in range(0, len(rows), 4096):
+                yield pa.RecordBatch.from_pylist(rows[k : k + 4096], NODE)
+            at = end
+
+    return run
 
 
 def _climbed(own: DataFrame) -> DataFrame:
@@ -232,21 +236,25 @@ def _climbed(own: DataFrame) -> DataFrame:
     raise RuntimeError("sums did not reach the root")
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of a node's ids, sorted, as comma-joined texts of at most PIECE ids."""
-    schema = pa.schema([("node", KEY), ("first", pa.int64()), ("text", pa.string())])
-    node, ids = None, []
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            if ids and (row["node"] != node or len(ids) >= PIECE):
-                out.append({"node": node, "first": ids[0], "text": ",".join(map(str, ids))})
-                ids = []
-            node = row["node"]
-            ids.append(row["conv_id"])
-        yield pa.RecordBatch.from_pylist(out, schema)
-    if ids:
-        yield pa.RecordBatch.from_pylist([{"node": node, "first": ids[0], "text": ",".join(map(str, ids))}], schema)
+def _pieces(most: int):
+    """Runs of a node's ids, sorted, as comma-joined texts of at most `most` ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("node", KEY), ("first", pa.int64()), ("text", pa.string())])
+        node, ids = None, []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if ids and (row["node"] != node or len(ids) >= most):
+                    out.append({"node": node, "first": ids[0], "text": ",".join(map(str, ids))})
+                    ids = []
+                node = row["node"]
+                ids.append(row["conv_id"])
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if ids:
+            yield pa.RecordBatch.from_pylist([{"node": node, "first": ids[0], "text": ",".join(map(str, ids))}], schema)
+
+    return run
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +279,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ends(ended: DataFrame) -> DataFrame:
     """node, ends_sha256: of the ids of conversations that end there, ascending. A crowded node's ids are joined where its ranges lie."""
     order = ["node", "conv_id"]
-    pieces = ended.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pieces, "node struct<depth: long, k1: long, k2: long>, first long, text string")
+    pieces = ended.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pieces(PIECE), "node struct<depth: long, k1: long, k2: long>, first long, text string")
     dealt = pieces.repartition("node").sortWithinPartitions("node", "first")
     return dealt.mapInArrow(_hashed, "node struct<depth: long, k1: long, k2: long>, ends_sha256 string")
 
@@ -292,7 +300,7 @@ def prefix_trie(sequences: DataFrame, convs: DataFrame) -> DataFrame:
     order = ["segment", "k1", "k2", "ids"]
     shards = -(-items.count() // SHARD_ITEMS) or 1
     sharded = items.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    parts = materialise(sharded.mapInArrow(_shard, NODE_TYPE), spark, "trie-parts")
+    parts = materialise(sharded.mapInArrow(_shard(SEGMENT), NODE_TYPE), spark, "trie-parts")
     merged = parts.where("open").groupBy("node").agg(*[F.max(c).alias(c) for c in ("up", "turn_id", "points")], *[F.sum(c).alias(c) for c in ("n", "n_children", "n_leaves", "saved")], F.min("least").alias("least"))
     merged = materialise(merged, spark, "trie-merged")
     kids = merged.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("open_kids"))
