@@ -1,21 +1,22 @@
 """Token-ID files: flat unsigned integers plus 64-bit document offsets, memory-mapped.
 
-Documents are dealt to parts of about equal bytes by ranges of doc_id. A task encodes one part in doc_id order and writes three
-files: `ids` (the narrowest unsigned type that holds the vocabulary), `offsets` (unsigned 64-bit, within the
-part) and `docs` (doc_id, signed 64-bit). The parts' sizes, one number each, are summed up to the base of each part.
+Documents are dealt to ranges of doc_id that Spark samples. A task encodes its range in doc_id order and writes parts of
+bounded size, three files each: `ids` (the narrowest unsigned type that holds the vocabulary), `offsets` (unsigned 64-bit, within the
+part) and `docs` (doc_id, signed 64-bit). Prefix sums of the parts' sizes, in two steps, are the base of each part.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from breakweave.llm.common import bounded_batches, materialise, read_only, shared_dir, write_whole
@@ -30,10 +31,14 @@ TOGETHER = 8192
 ROW = 1000
 #: Marks that may follow a word; a run of them is one piece of the pattern.
 MARKS = ".,!%*&$#|:;?"
-#: Input bytes that one part takes, about; parts are tasks, so this bounds what a task encodes.
+#: Input bytes that one range takes, about; a part is closed at twice as many, which bounds what a task holds.
 PART_BYTES = 24 << 20
-#: Ranges of ids whose bytes are counted, for each part.
-FINE = 4
+#: A part's number is that of its range, shifted by these bits, plus its place in the range.
+SEQUENCE_BITS = 20
+#: Prefix sums run within blocks of as many ranges (as a power of two), then over blocks.
+BLOCK_BITS = 10
+#: Tasks that read parts back at most.
+MOST_READERS = 100_000
 #: doc_id stored for a row whose doc_id is null.
 NO_ID = -(1 << 63)
 
@@ -146,73 +151,51 @@ def id_type(vocabulary: str, end: int) -> str:
     return "<u2" if max(Tokenizer.from_file(vocabulary).get_vocab_size() - 1, end) < 1 << 16 else "<u4"
 
 
-def among_edges(edges: list[int], value: Column) -> tuple[Column, Callable[[Column], Column]]:
-    """How many of the ascending edges are at most `value`, in two steps of about the square root of their number each.
+def dealt_by_id(docs: DataFrame, ranges: int) -> DataFrame:
+    """Rows in ranges that rise with doc_id, null first, sorted within.
 
-    The first result is a column to be kept by its own name, which the second turns into the number.
+    Spark samples the ranges. A number a row breaks ties, so that rows of one id, of equal text even, can part; their
+    order is free.
     """
-    step = max(1, round(len(edges) ** 0.5))
-    array = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    below = lambda values: F.size(F.filter(values, lambda edge: edge <= value))
-    coarse = F.greatest(below(array(edges[::step])) - 1, F.lit(0)) * step
-    return coarse, lambda kept: kept + below(F.slice(array(edges), kept + 1, F.lit(step)))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_tie").asc()]
+    tied = docs.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(ranges, *order) if ranges > 1 else tied.repartition(1)
+    return dealt.sortWithinPartitions(*order).drop("_tie")
 
 
-def ranged(docs: DataFrame, edges: list[int]) -> DataFrame:
-    """Adds range: 0 for null ids, then a number that rises with doc_id."""
-    if not edges:
-        return docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(1))
-    coarse, number = among_edges(edges, F.col("doc_id"))
-    return docs.withColumn("_from", coarse).withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(1 + number(F.col("_from")))).drop("_from")
+def with_bases(made: DataFrame) -> DataFrame:
+    """Adds base_docs and base: documents and ids in the parts before, by sums within blocks of parts and over blocks.
 
-
-def dealt_by_id(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
-    """Rows with a part number that rises with doc_id, and the number of parts; each part has about as many bytes.
-
-    Fine ranges of ids come from approximate quantiles (FINE to a part); their bytes are counted and neighbours put
-    together up to a part's share. An id that fills several ranges has a range of its own. Such a range, like that of
-    the null ids, is dealt to as many parts as its bytes ask for, by a hash of the text: the order of rows with one id
-    is free. Some numbers a part reach the driver, no rows.
+    No task sees more than a block's parts or the blocks' sums.
     """
-    if parts <= 1:
-        return docs.withColumn("part", F.lit(0)), 1
-    shares = [k / (FINE * parts) for k in range(1, FINE * parts)]
-    quantiles = [int(q) for q in docs.select("doc_id").approxQuantile("doc_id", shares, 0.2 / (FINE * parts))]
-    often = {a for a, b in zip(quantiles, quantiles[1:], strict=False) if a == b}
-    edges = sorted(set(quantiles) | {q + 1 for q in often})
-    rows = ranged(docs, edges)
-    size = rows.groupBy("range").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    sizes = sorted((r["range"], r["bytes"], r["low"] == r["high"] or r["range"] == 0) for r in size.collect())  # a row a range
-    share = max(1, sum(n for _, n, _ in sizes) // parts)
-    first, count = {}, {}
-    at, held = -1, share
-    for number, n, single in sizes:
-        split = max(1, -(-n // share)) if single else 1
-        if split > 1 or held + n > share:
-            at, held = at + 1, 0
-        first[number], count[number] = at, split
-        at, held = at + split - 1, share if split > 1 else held + n
-    table = lambda values: F.array(*[F.lit(values.get(k, 0)) for k in range(max(first, default=0) + 1)])
-    spread = F.pmod(F.xxhash64("text"), F.get(table(count), F.col("range"))).cast("int")
-    return rows.withColumn("part", F.get(table(first), F.col("range")) + spread).drop("range"), at + 1
+    rows = made.withColumn("_block", F.shiftright("part", SEQUENCE_BITS + BLOCK_BITS))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    whole = Window.orderBy("_block")
+    blocks = rows.groupBy("_block").agg(F.sum("n_docs").alias("_docs"), F.sum("n_tokens").alias("_tokens"))
+    blocks = blocks.select("_block", before("_docs", whole).alias("_docs"), before("_tokens", whole).alias("_tokens"))
+    inside = Window.partitionBy("_block").orderBy("part")
+    placed = rows.withColumns({"base_docs": before("n_docs", inside), "base": before("n_tokens", inside)}).join(blocks, "_block")
+    return placed.select("part", (F.col("base_docs") + F.col("_docs")).alias("base_docs"), (F.col("base") + F.col("_tokens")).alias("base"), "n_docs", "n_tokens")
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end: int = 2, parts: int | None = None) -> DataFrame:
     """Write the files below `folder`; returns one row a part: part, base_docs, base, n_docs, n_tokens, kind.
 
-    Null texts count as empty (the end id alone), rows without a doc_id come first, repeated rows are each
+    Rows are dealt to about `parts` ranges of ids; a range writes a new part whenever its texts pass twice PART_BYTES, so that
+    a task holds no more than that, however ids and lengths are spread. Part numbers rise with doc_id. Null texts count as empty (the end id alone), rows without a doc_id come first, repeated rows are each
     written, other columns are not read. No documents: no files and no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    kind = id_type(vocabulary, end)
+    kind, part_bytes = id_type(vocabulary, end), PART_BYTES
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if parts is None:
         size = rows.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
         parts = max(1, -(-size // PART_BYTES))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, held = encoder(vocabulary, kind), None, []
+        known, held = encoder(vocabulary, kind), []
+        part, size = TaskContext.get().partitionId() << SEQUENCE_BITS, 0
 
         def close() -> pa.RecordBatch:
             ids = [x for _, blob in held for x in blob]
@@ -220,44 +203,31 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end: int =
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
             keys = np.concatenate([k for k, _ in held]).astype("<i8")
             for name, data in (("ids", ids), ("offsets", [offsets.tobytes()]), ("docs", [keys.tobytes()])):
-                write_whole(folder, f"{name}-{part:06d}.bin", data)
+                write_whole(folder, f"{name}-{part:012d}.bin", data)
             one = {"part": [part], "n_docs": [len(keys)], "n_tokens": [int(offsets[-1])]}
             return pa.record_batch({k: pa.array(v, pa.int64()) for k, v in one.items()})
 
         for batch in batches:
-            numbers = batch.column("part").to_numpy()
             keys = batch.column("doc_id").fill_null(NO_ID).to_numpy()
-            texts = batch.column("text").to_pylist()
-            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if held and numbers[a] != part:
-                    yield close()
-                    held = []
-                part = int(numbers[a])
-                held.append((keys[a:b], known.ids(texts[a:b], end)))
+            held.append((keys, known.ids(batch.column("text").to_pylist(), end)))
+            size += batch.nbytes
+            if size >= 2 * part_bytes:
+                yield close()
+                part, held, size = part + 1, [], 0
         if held:
             yield close()
 
-    dealt, parts = dealt_by_id(rows, parts)
-    dealt = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id")
-    made = materialise(dealt.mapInArrow(encode, "part long, n_docs long, n_tokens long"), spark, "token-parts")
-    base = docs_before = 0
-    listed = []
-    for row in made.orderBy("part").collect():  # one row a part: a file list, not data
-        listed.append((row["part"], docs_before, base, row["n_docs"], row["n_tokens"], kind))
-        base, docs_before = base + row["n_tokens"], docs_before + row["n_docs"]
-    return spark.createDataFrame(listed, "part long, base_docs long, base long, n_docs long, n_tokens long, kind string")
+    made = materialise(dealt_by_id(rows, parts).mapInArrow(encode, "part long, n_docs long, n_tokens long"), spark, "token-parts")
+    return with_bases(made).withColumn("kind", F.lit(kind))
 
 
 def read_token_files(listed: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the memory-mapped files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the memory-mapped files; null ids stay null, no parts give no rows."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                names = [f"{folder}/{name}-{row['part']:06d}.bin" for name in ("ids", "offsets", "docs")]
+                names = [f"{folder}/{name}-{row['part']:012d}.bin" for name in ("ids", "offsets", "docs")]
                 with read_only(names[0]) as a, read_only(names[1]) as b, read_only(names[2]) as c:
                     ids = np.frombuffer(a.read_buffer(), row["kind"])
                     offsets, keys = np.frombuffer(b.read_buffer(), "<u8").astype(np.int64), np.frombuffer(c.read_buffer(), "<i8")
@@ -272,11 +242,15 @@ def read_token_files(listed: DataFrame, folder: str) -> DataFrame:
                     )
 
     n = max(1, listed.count())
-    dealt = listed.repartitionById(n, F.col("part").cast("int"))
+    dealt = listed.repartition(min(n, MOST_READERS), "part")
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, spark: SparkSession, vocabulary: str, end: int = 2, parts: int | None = None) -> DataFrame:
-    """Write the files in the shared folder and return what they hold, a row a document."""
+    """Write the files in the shared folder and return what they hold, a row a document.
+
+    Null and empty texts have the end id alone; null ids come first; rows that repeat an id follow each other in any
+    order; other columns are not read; an empty table gives no rows.
+    """
     folder = shared_dir(spark, "token-files")
     return read_token_files(write_token_files(docs, vocabulary, folder, end, parts), folder)

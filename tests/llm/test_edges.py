@@ -32,22 +32,27 @@ def test_mixing_keeps_clashing_columns_and_spreads_rows_without_key(spark):
 
 @pytest.mark.parametrize("parts", [1, 5])
 def test_token_parts_of_one_hot_id(spark, parts, monkeypatch):
-    monkeypatch.setattr(token_files, "FINE", 4)
+    monkeypatch.setattr(token_files, "PART_BYTES", 2000 if parts > 1 else 1 << 20)
+    monkeypatch.setattr(common, "BATCH_ROWS", 16)
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     rng = random.Random(2)
     rows = [(rng.choice([None, 7, 7, 7, k]), "word and " * rng.randint(0, 30) + str(k)) for k in range(300)] + [(3, None), (900, "long text " * 400)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, part string").repartition(3)
-    dealt, n = token_files.dealt_by_id(docs.select("doc_id", F.col("text")), parts)
-    numbered = dealt.select("part", "doc_id").collect()
-    assert {r["part"] for r in numbered} <= set(range(n))
     low = lambda k: -1 if k is None else k
+    dealt = token_files.dealt_by_id(docs.select("doc_id", "text"), parts).withColumn("range", F.spark_partition_id()).collect()
     spans = defaultdict(list)
-    for r in numbered:
-        spans[r["part"]].append(low(r["doc_id"]))
+    for r in dealt:
+        spans[r["range"]].append(low(r["doc_id"]))
     ordered = [spans[k] for k in sorted(spans)]
-    assert all(max(a) <= min(b) for a, b in zip(ordered, ordered[1:], strict=False))
-    assert sum(7 in ids for ids in ordered) == (1 if parts == 1 else 3)
+    assert all(x == sorted(x) for x in ordered) and all(max(a) <= min(b) for a, b in zip(ordered, ordered[1:], strict=False))
+    assert sum(7 in ids for ids in ordered) == 1 if parts == 1 else sum(7 in ids for ids in ordered) > 1
+    listed = token_files.write_token_files(docs, path, common.shared_dir(spark, "t"), parts=parts).orderBy("part").collect()
+    assert len(listed) == 1 if parts == 1 else len(listed) > parts
+    at = docs_before = 0
+    for r in listed:
+        assert (r["base"], r["base_docs"]) == (at, docs_before)
+        at, docs_before = at + r["n_tokens"], docs_before + r["n_docs"]
     got = sorted(token_files.token_files(docs, spark, path, parts=parts).collect(), key=lambda r: r["start"])
     at = 0
     for r in got:
