@@ -347,25 +347,70 @@ def k12_geometric(spark: SparkSession, d: str) -> DataFrame:
 
 # Expectation-maximisation
 
-P_ROWS = DELETIONS + ", p AS (SELECT variant_id, round(1 - CASE WHEN k_max >= 2 THEN 1.0 ELSE 0.0 END + 1e-6, 16) AS p FROM deletions)"
-EM_SQL = P_ROWS + ", t0 AS (SELECT CAST(0.9 AS DOUBLE) AS theta)" + "".join(
-    f""", v{k} AS (SELECT variant_id, sum((p * theta + (1 - p) * (1 - theta)) * p) / sum(p * theta + (1 - p) * (1 - theta)) AS part FROM p, t{k - 1} GROUP BY variant_id),
-    t{k} AS (SELECT avg(part) AS theta FROM v{k})"""
-    for k in range(1, 9)
-)
+REALIGNED = CLEANED + """, affix AS (
+  SELECT chr, seq, pos, anc, der, substr(seq, pos - 149, 150) AS aup, CASE WHEN length(ref) > length(alt) THEN substr(ref, 2) ELSE substr(alt, 2) END AS x, substr(seq, pos + length(ref), 150) AS adown FROM cleaned
+), runs AS (
+  SELECT *, length(x) AS n,
+    len(list_filter(range(1, length(aup)), lambda k: right(aup, CAST(k AS INTEGER)) = right(aup || x, CAST(k AS INTEGER)))) AS l,
+    len(list_filter(range(1, length(adown)), lambda k: left(adown, CAST(k AS INTEGER)) = left(x || adown, CAST(k AS INTEGER)))) AS r FROM affix
+), shifts AS (SELECT *, unnest(range(-CAST(l AS BIGINT), CAST(r AS BIGINT) + 1)) AS s, aup || x || adown AS whole FROM runs
+), moved AS (
+  SELECT chr, seq, pos + s AS pos, pos AS original_pos, s + l + 1 AS realign_idx, length(anc) > length(der) AS deletes, substr(whole, CAST(length(aup) + s AS INTEGER), CAST(n + 1 AS INTEGER)) AS wide, substr(whole, CAST(length(aup) + s AS INTEGER), 1) AS one FROM shifts
+), realigned AS (
+  SELECT chr, seq, pos, original_pos, realign_idx, CASE WHEN deletes THEN wide ELSE one END AS anc, CASE WHEN deletes THEN one ELSE wide END AS der,
+    CASE WHEN deletes THEN 'DEL' ELSE 'INS' END AS indel_type, length(wide) - 1 AS indel_len, chr || '_' || original_pos AS variant_id
+  FROM moved QUALIFY row_number() OVER (PARTITION BY chr, pos, deletes, wide, one ORDER BY original_pos, realign_idx) = 1
+)"""
+REALIGNED_DELETIONS = REALIGNED + """, placed_up AS (
+  SELECT *, substr(anc, 2) AS indel, substr(seq, greatest(pos - (50 + indel_len) + 1, 1), 50 + indel_len) AS up, substr(seq, greatest(pos - 999, 1), 1000 + least(pos, 1000)) AS around FROM realigned WHERE indel_type = 'DEL'
+), deletions AS (
+  SELECT *, len(list_filter(range(1, least(indel_len, length(up)) + 1), lambda k: right(indel, CAST(k AS INTEGER)) = right(up, CAST(k AS INTEGER)))) AS k_max FROM placed_up
+)"""
+
+
+def realigned_deletions(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct placement of every deletion, with its contexts and longest homology."""
+    contigs = world.genome(spark, d)
+    rows = cleaning.dedupe(realign.realign(cleaned(spark, d), contigs, longest=world.LONGEST))
+    rows = detect.with_context(rows, contigs, longest=world.LONGEST).where("indel_type = 'DEL'")
+    return rows.withColumn("k_max", detect.longest_mh(rows))
+
+
+#: Formula 3 over the geometric p-value of every placement.
+P_ROWS = REALIGNED_DELETIONS + """, g AS (
+  SELECT variant_id, pos, indel_len, k_max, indel_len - 1 AS n, right(indel, CAST(k_max AS INTEGER)) AS mh, len(list_filter(range(1, length(around) - k_max + 2), lambda i: substr(around, CAST(i AS INTEGER), CAST(k_max AS INTEGER)) = right(indel, CAST(k_max AS INTEGER)))) AS c FROM deletions
+), lk AS (SELECT *, pow(1 - c / (4000 - k_max + 1), n) * (c / (4000 - k_max + 1)) AS l FROM g
+), chance AS (SELECT *, CASE WHEN k_max > 0 THEN (1 - pow(1 - l, n)) * l ELSE 1.0 END AS x, CASE WHEN k_max > 0 THEN 1.0 ELSE 0.0 END AS h FROM lk
+), p AS MATERIALIZED (SELECT variant_id, pos, indel_len, round(x / (x + h + 1e-16), 16) AS p FROM chance)"""
 
 
-def p_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = deletions(spark, d).withColumn("del_mmej_cand", F.when(F.col("k_max") >= 2, F.right("indel", F.lit(2))))
-    for c in ("del_mmej_lk", "del_p_val", "del_p_chance", "mh2_p_chance", "del_lk", "del_freq_eq", "del_motif_count"):
-        rows = rows.withColumn(c, F.lit(None).cast("double"))
-    return rows.select("variant_id", em.nhej_probability(5).alias("p"))
+def p_rows(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    some = F.col("k_max") > 0
+    rows = markov.geometric_chance(realigned_deletions(spark, d)).withColumns({"del_mmej_cand": F.when(some, F.right("indel", F.col("k_max"))), "del_p_val": F.col("geo_p"), "del_mmej_lk": F.lit(0.0), "del_p_chance": F.lit(None).cast("double")})
+    # The deal by variant serves the groupings that follow, and ends the expressions that they would each repeat.
+    return rows.select("variant_id", *columns, em.nhej_probability(3).alias("p")).repartition("variant_id")
+
+
+def em_sql(source: str, by: str) -> str:
+    """SQL that takes each draw of `source` (by, variant_id, p) to the tolerance: rounds is a row a draw and round."""
+    named = ", ".join(f"r.{c.strip()}" for c in by.split(","))
+    return f""", rounds AS (
+      SELECT DISTINCT {by}, 0 AS k, CAST(0.9 AS DOUBLE) AS theta, FALSE AS done FROM {source}
+      UNION ALL
+      SELECT {by}, k + 1, avg(part), pow(avg(part) - theta, 2) < 1e-7 FROM (
+        SELECT {named}, k, theta, variant_id, sum((p * theta + (1 - p) * (1 - theta)) * p) / sum(p * theta + (1 - p) * (1 - theta)) AS part
+        FROM rounds r JOIN {source} USING ({by}) WHERE NOT done GROUP BY ALL) GROUP BY {by}, k, theta
+    )"""
 
 
-@query(EM_SQL + " SELECT round(theta, 9) AS nhej, round(1 - theta, 9) AS mmej FROM t8")
+def recursive(sql: str) -> str:
+    return "WITH RECURSIVE" + sql.lstrip().removeprefix("WITH")
+
+
+@query(recursive(P_ROWS) + ", d AS MATERIALIZED (SELECT 0 AS boot_n, variant_id, p FROM p)" + em_sql("d", "boot_n") + " SELECT round(theta, 9) AS nhej, round(1 - theta, 9) AS mmej, k AS rounds FROM rounds WHERE done")
 def e1_em(spark: SparkSession, d: str) -> DataFrame:
-    theta, _ = em.em(p_rows(spark, d), tolerance=0.0, rounds=8)
-    return spark.createDataFrame([(round(theta, 9), round(1 - theta, 9))], "nhej double, mmej double")
+    theta, history = em.em(p_rows(spark, d))
+    return spark.createDataFrame([(round(theta, 9), round(1 - theta, 9), len(history) - 1)], "nhej double, mmej double, rounds int")
 
 
 @query(P_ROWS + " SELECT variant_id, round(p, 9) AS p, round((p * 0.3 + (1 - p) * 0.7) / sum(p * 0.3 + (1 - p) * 0.7) OVER (PARTITION BY variant_id), 9) AS weight FROM p")
@@ -373,30 +418,32 @@ def e2_posterior(spark: SparkSession, d: str) -> DataFrame:
     return em.posterior(p_rows(spark, d), 0.3).select("variant_id", F.round("p", 9).alias("p"), F.round("weight", 9).alias("weight"))
 
 
-@query(P_ROWS + ", ids AS (SELECT variant_id FROM (SELECT DISTINCT variant_id FROM p) ORDER BY md5('7|' || variant_id), variant_id LIMIT 300) SELECT variant_id, p FROM p WHERE variant_id IN (SELECT variant_id FROM ids)")
+@query(P_ROWS + ", ids AS (SELECT variant_id FROM (SELECT DISTINCT variant_id FROM p) ORDER BY md5('7|' || variant_id), variant_id LIMIT 300) SELECT variant_id, round(p, 9) AS p FROM p WHERE variant_id IN (SELECT variant_id FROM ids)")
 def e3_variant_draw(spark: SparkSession, d: str) -> DataFrame:
-    return em.draw_variants(p_rows(spark, d), 300, 7)
+    return em.draw_variants(p_rows(spark, d), 300, 7).withColumn("p", F.round("p", 9))
 
 
 BOOT_SQL = (
-    P_ROWS
+    recursive(P_ROWS)
     + """, ids AS (SELECT variant_id, CAST(b AS BIGINT) AS boot_n FROM (SELECT DISTINCT variant_id FROM p), (SELECT unnest(range(0, 10)) AS b)
       QUALIFY row_number() OVER (PARTITION BY b ORDER BY md5('0|' || b || '|' || variant_id), variant_id) <= 200),
-    drawn AS MATERIALIZED (SELECT boot_n, variant_id, p FROM ids JOIN p USING (variant_id)), t0 AS (SELECT DISTINCT boot_n, CAST(0.9 AS DOUBLE) AS theta FROM ids)"""
-    + "".join(
-        f""", v{k} AS (SELECT boot_n, variant_id, sum((p * theta + (1 - p) * (1 - theta)) * p) / sum(p * theta + (1 - p) * (1 - theta)) AS part FROM drawn JOIN t{k - 1} USING (boot_n) GROUP BY boot_n, variant_id),
-    t{k} AS MATERIALIZED (SELECT boot_n, avg(part) AS theta FROM v{k} GROUP BY boot_n)"""
-        for k in range(1, 11)
-    )
+    drawn AS MATERIALIZED (SELECT boot_n, variant_id, p FROM ids JOIN p USING (variant_id))"""
+    + em_sql("drawn", "boot_n")
 )
 
 
-@query(BOOT_SQL + " SELECT boot_n, round(theta, 9) AS NHEJ, round(1 - theta, 9) AS MMEJ FROM t10")
+@query(BOOT_SQL + " SELECT boot_n, round(theta, 9) AS NHEJ, round(1 - theta, 9) AS MMEJ FROM rounds WHERE done")
 def e3_bootstrap_em(spark: SparkSession, d: str) -> DataFrame:
-    out = em.bootstrap_em(p_rows(spark, d), draws=10, size=200, rounds=10)
+    out = em.bootstrap_em(p_rows(spark, d), draws=10, size=200)
     return out.select("boot_n", *[F.round(c, 9).alias(c) for c in ("NHEJ", "MMEJ")])
 
 
+@query(BOOT_SQL + " SELECT boot_n, k AS round, round(theta, 9) AS NHEJ, done AS last FROM rounds WHERE k > 0")
+def s13_em_log(spark: SparkSession, d: str) -> DataFrame:
+    log = em.em_log(em.drawn_variants(p_rows(spark, d), draws=10, size=200))
+    return log.select("boot_n", "round", F.round("NHEJ", 9).alias("NHEJ"), "last")
+
+
 @query(None)
 def q1_q6_mechanism_lengths(spark: SparkSession, d: str) -> DataFrame:
     found = detect.detect_slippage(detect.detect_deletions(contexts(spark, d), [3, 2]))
@@ -436,25 +483,18 @@ def e_types_probabilities(spark: SparkSession, d: str) -> DataFrame:
 
 
 BIN_SQL = (
-    DELETIONS
-    + """, p AS (SELECT variant_id, CASE WHEN indel_len < 10 THEN CAST(indel_len AS VARCHAR) WHEN indel_len < 15 THEN '10<=Indel<15' WHEN indel_len < 30 THEN '15<=Indel<30' ELSE '30<=Indel' END AS length_bin,
-      CAST(block % 5 AS BIGINT) AS boot_n, round(1 - CASE WHEN k_max >= 2 THEN 1.0 ELSE 0.0 END + 1e-6, 16) AS p FROM (SELECT *, CAST(round_even(pos / 500.0, 0) AS BIGINT) AS block FROM deletions)),
-    t0 AS (SELECT DISTINCT boot_n, length_bin, CAST(0.9 AS DOUBLE) AS theta FROM p)"""
-    + "".join(
-        f""", v{k} AS (SELECT boot_n, length_bin, variant_id, sum((p * theta + (1 - p) * (1 - theta)) * p) / sum(p * theta + (1 - p) * (1 - theta)) AS part FROM p JOIN t{k - 1} USING (boot_n, length_bin) GROUP BY ALL),
-    t{k} AS MATERIALIZED (SELECT boot_n, length_bin, avg(part) AS theta FROM v{k} GROUP BY ALL)"""
-        for k in range(1, 6)
-    )
+    recursive(P_ROWS)
+    + """, binned AS MATERIALIZED (SELECT variant_id, p, CASE WHEN indel_len < 10 THEN CAST(indel_len AS VARCHAR) WHEN indel_len < 15 THEN '10<=Indel<15' WHEN indel_len < 30 THEN '15<=Indel<30' ELSE '30<=Indel' END AS length_bin,
+      CAST(round_even(pos / 500.0, 0) AS BIGINT) % 5 AS boot_n FROM p)"""
+    + em_sql("binned", "boot_n, length_bin")
 )
 
 
-@query(BIN_SQL + " SELECT boot_n, length_bin, round(theta, 9) AS NHEJ, round(1 - theta, 9) AS MMEJ FROM t5")
+@query(BIN_SQL + " SELECT boot_n, length_bin, round(theta, 9) AS NHEJ, round(1 - theta, 9) AS MMEJ FROM rounds WHERE done")
 def a8_em_by_length_bin(spark: SparkSession, d: str) -> DataFrame:
-    # The deal by variant serves the grouping, and ends the expressions that the bins would each repeat.
-    rows = deletions(spark, d).select("variant_id", "pos", "indel_len", "k_max").repartition("variant_id")
+    rows = p_rows(spark, d, "pos", "indel_len")
     rows = rows.withColumn("boot_n", blocks.block_id(F.col("pos"), 500) % 5).withColumn("length_bin", S.length_bin(F.col("indel_len")))
-    has = F.when(F.col("k_max") >= 2, 1.0).otherwise(0.0)
-    out = em.em_by_draw(rows.select("boot_n", "length_bin", "variant_id", F.round(1 - has + 1e-6, 16).alias("p")), rounds=5, by=["boot_n", "length_bin"])
+    out = em.em_by_draw(rows.select("boot_n", "length_bin", "variant_id", "p"), by=["boot_n", "length_bin"])
     return out.select("boot_n", "length_bin", *[F.round(c, 9).alias(c) for c in ("NHEJ", "MMEJ")])
 
 
@@ -462,11 +502,11 @@ def a8_em_by_length_bin(spark: SparkSession, d: str) -> DataFrame:
     P_ROWS
     + """, first AS (SELECT DISTINCT variant_id FROM p WHERE p < 0.5), second AS (SELECT DISTINCT variant_id FROM p WHERE p >= 0.5),
     a AS (SELECT variant_id FROM first ORDER BY md5('3|' || variant_id), variant_id LIMIT 120), b AS (SELECT variant_id FROM second ORDER BY md5('4|' || variant_id), variant_id LIMIT 80)
-    SELECT variant_id, p FROM p WHERE (p < 0.5 AND variant_id IN (SELECT variant_id FROM a)) OR (p >= 0.5 AND variant_id IN (SELECT variant_id FROM b))"""
+    SELECT variant_id, round(p, 9) AS p FROM p WHERE (p < 0.5 AND variant_id IN (SELECT variant_id FROM a)) OR (p >= 0.5 AND variant_id IN (SELECT variant_id FROM b))"""
 )
 def e4_two_sources(spark: SparkSession, d: str) -> DataFrame:
     rows = p_rows(spark, d)
-    return em.draw_mixture(rows.where("p < 0.5"), rows.where("p >= 0.5"), 120, 80, 3)
+    return em.draw_mixture(rows.where("p < 0.5"), rows.where("p >= 0.5"), 120, 80, 3).withColumn("p", F.round("p", 9))
 
 
 @query(
