@@ -115,16 +115,27 @@ def drop_near_start(variants: DataFrame, least: int = 1000) -> DataFrame:
 
 
 def split_multiallelic(variants: DataFrame) -> DataFrame:
-    """One row for each alternative allele."""
-    return variants.withColumn("alt", F.explode(F.split("alt", ",")))
+    """One row for each alternative allele.
+
+    Where there are `calls` (allele numbers as files have them, null if missing), `genotypes` tells for each call whether
+    it is the row's allele: the calls of a site's other alleles count as reference.
+    """
+    each = variants.select("*", F.posexplode(F.split("alt", ",")).alias("_k", "_alt")).withColumn("alt", F.col("_alt"))
+    if "calls" in variants.columns:
+        each = each.withColumn("genotypes", F.transform("calls", lambda g: (g == F.col("_k") + 1).cast("int")))
+    return each.drop("_k", "_alt")
 
 
 def population_filter(variants: DataFrame, max_missing: float = 0.5, least_minor: int = 1) -> DataFrame:
-    """Indels whose genotypes (array of 0, 1 or null) are complete and varied enough; multiallelic rows split first."""
-    calls = F.filter("genotypes", lambda g: g.isNotNull())
-    ones = F.aggregate(calls, F.lit(0), lambda a, g: a + g)
-    complete = F.size(calls) >= (1 - max_missing) * F.size("genotypes")
-    return drop_snps(split_multiallelic(variants)).where(complete & (F.least(ones, F.size(calls) - ones) >= least_minor))
+    """Indels whose calls (or genotypes: 0, 1 or null) are complete and varied enough, a row an alternative allele.
+
+    At most `max_missing` of the calls are missing, and the rarer of allele and rest is called `least_minor` times.
+    """
+    rows = split_multiallelic(variants)
+    called = F.filter("genotypes", lambda g: g.isNotNull())
+    ones = F.aggregate(called, F.lit(0), lambda a, g: a + g)
+    complete = F.size(called) >= (1 - max_missing) * F.size("genotypes")
+    return drop_snps(rows).where(complete & (F.least(ones, F.size(called) - ones) >= least_minor))
 
 
 def rename_chromosomes(variants: DataFrame, names: dict[str, str]) -> DataFrame:

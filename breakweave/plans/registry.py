@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from breakweave.functions import sequence as S
 from breakweave.operators import blocks, cleaning, detect, em, emq, evaluate, intervals, markov, reads, realign, simulate
 from breakweave.plans import pipeline
-from breakweave.sources import readers, world
+from breakweave.sources import readers, scratch, world
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -505,7 +505,7 @@ def a8_em_by_length_bin(spark: SparkSession, d: str) -> DataFrame:
     SELECT variant_id, round(p, 9) AS p FROM p WHERE (p < 0.5 AND variant_id IN (SELECT variant_id FROM a)) OR (p >= 0.5 AND variant_id IN (SELECT variant_id FROM b))"""
 )
 def e4_two_sources(spark: SparkSession, d: str) -> DataFrame:
-    rows = p_rows(spark, d)
+    rows = scratch.written(p_rows(spark, d), "p-rows")
     return em.draw_mixture(rows.where("p < 0.5"), rows.where("p >= 0.5"), 120, 80, 3).withColumn("p", F.round("p", 9))
 
 
@@ -958,9 +958,16 @@ def g8_g9_matched_lengths(spark: SparkSession, d: str) -> DataFrame:
     return simulate.match_lengths(made, wanted, 1)
 
 
+def load() -> None:
+    """The queries that stand in modules of their own."""
+    from breakweave.plans import file_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(ORACLES)
