@@ -234,6 +234,18 @@ def r1_realign(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(S.variant_id(F.col("chr"), F.col("original_pos")).alias("variant_id"), "pos", F.col("realign_idx").cast("long").alias("realign_idx"), "anc", "der")
 
 
+@query(None)
+def r1_r2_complex_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Alleles that share no anchor, placed by both modes of the aligner."""
+    rows = cleaned(spark, d).where(F.length("anc") > 2)
+    turned = rows.withColumn("der", F.reverse(F.substring("anc", 2, 2))).withColumns({"ref": F.col("anc"), "alt": F.col("der")}).distinct()
+    both = None
+    for mode in ("local", "global"):
+        placed = realign.realign(turned, world.genome(spark, d), flank=40, longest=world.LONGEST, mode=mode).withColumn("mode", F.lit(mode))
+        both = placed if both is None else both.unionByName(placed)
+    return both.select(S.variant_id(F.col("chr"), F.col("original_pos")).alias("variant_id"), "mode", "realign_mode", "realign_idx", "pos", "anc", "der")
+
+
 @query(DELETIONS + " SELECT CAST(k_max AS BIGINT) AS k_max, CAST(count(*) AS BIGINT) AS n FROM deletions GROUP BY k_max")
 def a19_mh_length_distribution(spark: SparkSession, d: str) -> DataFrame:
     return blocks.mh_lengths(deletions(spark, d)).select(F.col("k_max").cast("long").alias("k_max"), "n")
