@@ -138,6 +138,45 @@ def markov_scores(context: list[str], motif: list[str], distance: list[int], mem
     return out
 
 
+def total_probability(context: list[str], motif: list[str], length: list[int], memory: list[str]) -> np.ndarray:
+    """How likely a motif is to end at any of the states 0 to length - 1, in the older model.
+
+    One less the product, over all states, of one less the state's probability of the motif's last dimer (the memory, for
+    a motif of one base) times the motif's own, whose first two factors come from that dimer and from its last and first
+    base. States are biased by EPSILON. NaN where the motif is empty, the length below 1 or a letter unknown.
+    """
+    out = np.full(len(context), np.nan)
+    codes, last = ([CODE[np.frombuffer((x or "").encode("ascii", "replace"), np.uint8)] for x in xs] for xs in (motif, memory))
+    good = [r for r in range(len(context)) if len(codes[r]) and len(last[r]) >= 2 and length[r] >= 1 and (codes[r] >= 0).all() and (last[r][-2:] >= 0).all()]
+    if not good:
+        return out
+    m, _ = _tables([context[r] or "" for r in good])
+    k, rows = len(good), np.arange(len(good))
+    n = np.array([length[r] for r in good])
+    start = np.array([last[r][-2:] for r in good])
+    ends = np.array([codes[r][-2:] if len(codes[r]) > 1 else last[r][-2:] for r in good])
+    own = np.ones(k)
+    for i, r in enumerate(good):
+        x = codes[r]
+        before = [ends[i], (x[-1], x[0]), *zip(x[:-1], x[1:], strict=True)] if len(x) > 1 else [ends[i]]
+        own[i] = np.prod([m[i, a, b, c] for (a, b), c in zip(before, x, strict=False)])
+    state = np.zeros((k, 4, 4))
+    state[rows, start[:, 0], start[:, 1]] = 1
+    missed = np.ones(k)
+    for t in range(int(n.max())):
+        if t:
+            state = np.einsum("rab,rabc->rbc", state, m)
+        missed = np.where(t < n, missed * (1 - (state[rows, ends[:, 0], ends[:, 1]] + EPSILON) * own), missed)
+    out[good] = 1 - missed
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def total_probability_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for context, motif, length, memory in batches:
+        yield pd.Series(total_probability(context.tolist(), motif.tolist(), [0 if pd.isna(x) else int(x) for x in length], memory.tolist()))
+
+
 @F.pandas_udf(SCORES)
 def markov_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for context, motif, distance, memory in batches:

@@ -336,12 +336,70 @@ def k3_transition_table(spark: SparkSession, d: str) -> DataFrame:
     return table.select(F.col("chr").alias("id"), "dimer", "base", F.round("p", 9).alias("p"))
 
 
-@query(None)
+def recursive(sql: str) -> str:
+    return "WITH RECURSIVE" + sql.lstrip().removeprefix("WITH")
+
+
+def state_sql(state: str, m: str) -> str:
+    """The next state: sixteen sums over the base that falls out of memory. Lists are from 1, codes from 0."""
+    terms = " + ".join(f"{state}[CAST({4 * a} + i // 4 + 1 AS BIGINT)] * {m}[CAST({16 * a} + i + 1 AS BIGINT)]" for a in range(4))
+    return f"list_transform(range(0, 16), lambda i: {terms})"
+
+
+def code_sql(text: str, at: str) -> str:
+    return f"(strpos('ACGT', substr({text}, CAST({at} AS BIGINT), 1)) - 1)"
+
+
+#: picked: deletions with their best homology; tables: the 64 transition probabilities of a row and its 16 dimer frequencies.
+MARKOV = recursive(DELETIONS) + f""", picked AS MATERIALIZED (SELECT row_number() OVER () AS rid, variant_id, indel, indel_len, up, around, k_max, right(indel, CAST(k_max AS INTEGER)) AS cand FROM deletions WHERE k_max >= 2),
+grid AS (SELECT CAST(i AS BIGINT) AS code, substr('ACGT', CAST(i // 16 + 1 AS BIGINT), 1) || substr('ACGT', CAST(i // 4 % 4 + 1 AS BIGINT), 1) || substr('ACGT', CAST(i % 4 + 1 AS BIGINT), 1) AS g FROM range(64) t(i)),
+grams AS MATERIALIZED (SELECT rid, g, count(*) AS n FROM (SELECT rid, unnest(list_transform(range(1, length(around) - 1), lambda i: substr(around, CAST(i AS BIGINT), 3))) AS g FROM picked) GROUP BY ALL),
+shares AS (SELECT p.rid, code, coalesce(n, 0) AS n, (coalesce(n, 0) + 1e-6) / sum(coalesce(n, 0) + 1e-6) OVER (PARTITION BY p.rid, code // 4) AS p FROM picked p CROSS JOIN grid LEFT JOIN grams c ON c.rid = p.rid AND c.g = grid.g),
+dimers AS (SELECT s.rid, code // 4 AS ab, sum(n) AS n FROM shares s GROUP BY ALL),
+frequencies AS (SELECT d.rid, list((n + CASE WHEN ab = 4 * {code_sql("around", "length(around) - 1")} + {code_sql("around", "length(around)")} THEN 1 ELSE 0 END) / (length(around) - 1) + 1e-6 ORDER BY ab) AS f FROM dimers d JOIN picked USING (rid) GROUP BY d.rid),
+tables AS MATERIALIZED (SELECT rid, list(p ORDER BY code) AS m FROM shares GROUP BY rid),
+jobs AS (SELECT rid, 1 AS kind, cand AS motif, indel_len - k_max AS dist FROM picked UNION ALL SELECT rid, 2, right(indel, 2), indel_len - 2 FROM picked),
+job AS MATERIALIZED (SELECT j.*, m, {code_sql("right(up, 2)", "1")} AS a, {code_sql("right(up, 2)", "2")} AS b, 4 * {code_sql("motif", "1")} + {code_sql("motif", "2")} + 1 AS spot,
+  coalesce(list_product(list_transform(range(1, length(motif) - 1), lambda i: m[CAST(16 * {code_sql("motif", "i")} + 4 * {code_sql("motif", "i + 1")} + {code_sql("motif", "i + 2")} + 1 AS BIGINT)])), 1.0) AS tail
+  FROM jobs j JOIN tables USING (rid) JOIN picked p ON p.rid = j.rid)"""
+WALK = f""", walk AS (
+  SELECT rid, kind, 1 AS t, list_transform(range(0, 16), lambda i: CASE WHEN i // 4 = b THEN m[CAST(16 * a + 4 * b + i % 4 + 1 AS BIGINT)] ELSE 0.0 END) AS s, CAST(1 AS DOUBLE) AS q, CAST(1 AS DOUBLE) AS q_first, CAST(0 AS DOUBLE) AS lk, CAST(0 AS DOUBLE) AS p, CAST(0 AS DOUBLE) AS p_val FROM job
+  UNION ALL
+  SELECT rid, kind, t + 1, s2, q * abs(1 - p2), CASE WHEN t = 1 THEN q * abs(1 - p2) ELSE q_first END, q * (1 - abs(1 - p2)), p2, CASE WHEN t > 1 THEN q_first - q * abs(1 - p2) ELSE 0 END
+  FROM (SELECT *, s2[spot] * tail AS p2 FROM (SELECT w.*, spot, tail, {state_sql("s", "m")} AS s2 FROM walk w JOIN job j ON w.rid = j.rid AND w.kind = j.kind WHERE t < dist + 2))
+), ended AS (SELECT w.* FROM walk w JOIN job j ON w.rid = j.rid AND w.kind = j.kind WHERE t = dist + 2),
+far AS (SELECT rid, {state_sql("e", "m")}[spot] * tail AS freq_eq FROM (
+  SELECT j.*, list_transform(range(0, 16), lambda i: CASE WHEN i // 4 = b THEN list_sum(list_transform(range(0, 16), lambda x: f[x + 1] * m[CAST(4 * x + i % 4 + 1 AS BIGINT)])) ELSE 0.0 END) AS e FROM job j JOIN frequencies USING (rid) WHERE kind = 1))"""
+
+
+@query(
+    MARKOV
+    + WALK
+    + """ SELECT d.variant_id, cand AS del_mmej_cand, round(x.lk, 9) AS del_lk, round(x.p_val, 9) AS del_p_val, round(x.p, 9) AS del_p_chance, round(freq_eq, 9) AS del_freq_eq, round(y.lk, 9) AS mh2_lk
+    FROM picked d JOIN ended x ON x.rid = d.rid AND x.kind = 1 JOIN ended y ON y.rid = d.rid AND y.kind = 2 JOIN far ON far.rid = d.rid
+    UNION ALL SELECT variant_id, NULL, NULL, NULL, NULL, NULL, NULL FROM deletions WHERE k_max < 2"""
+)
 def k10_markov_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = detect.detect_deletions(contexts(spark, d), [0, 2])
     return markov.score_deletions(rows).select("variant_id", "del_mmej_cand", *[F.round(c, 9).alias(c) for c in ("del_lk", "del_p_val", "del_p_chance", "del_freq_eq", "mh2_lk")])
 
 
+@query(
+    MARKOV
+    + f""", own AS (SELECT j.*, indel_len, 4 * {code_sql("motif", "length(motif) - 1")} + {code_sql("motif", "length(motif)")} AS final,
+      m[CAST(4 * (4 * {code_sql("motif", "length(motif) - 1")} + {code_sql("motif", "length(motif)")}) + {code_sql("motif", "1")} + 1 AS BIGINT)]
+      * m[CAST(16 * {code_sql("motif", "length(motif)")} + 4 * {code_sql("motif", "1")} + {code_sql("motif", "2")} + 1 AS BIGINT)] * tail AS pm FROM job j JOIN picked USING (rid) WHERE kind = 1
+    ), walk AS (
+      SELECT rid, 0 AS t, list_transform(range(0, 16), lambda i: CASE WHEN i = 4 * a + b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS s, 1 - (CASE WHEN final = 4 * a + b THEN 1 ELSE 0 END + 1e-6::DOUBLE) * pm AS missed FROM own
+      UNION ALL
+      SELECT rid, t + 1, s2, missed * (1 - (s2[final + 1] + 1e-6) * pm) FROM (SELECT w.*, final, pm, {state_sql("s", "m")} AS s2 FROM walk w JOIN own o ON w.rid = o.rid WHERE t < indel_len - 1)
+    ) SELECT variant_id, cand, round(1 - missed, 9) AS total FROM walk w JOIN picked p ON w.rid = p.rid WHERE t = indel_len - 1"""
+)
+def k11_total_probability(spark: SparkSession, d: str) -> DataFrame:
+    rows = deletions(spark, d).where("k_max >= 2").withColumn("cand", F.right("indel", F.col("k_max")))
+    return rows.select("variant_id", "cand", F.round(markov.total_probability_udf("around", "cand", "indel_len", F.right("up", F.lit(2))), 9).alias("total"))
+
+
 @query(None)
 def k_combined_scores(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.scored(world.variants(spark, d), world.genome(spark, d), longest=world.LONGEST)
@@ -415,10 +473,6 @@ def em_sql(source: str, by: str) -> str:
     )"""
 
 
-def recursive(sql: str) -> str:
-    return "WITH RECURSIVE" + sql.lstrip().removeprefix("WITH")
-
-
 @query(recursive(P_ROWS) + ", d AS MATERIALIZED (SELECT 0 AS boot_n, variant_id, p FROM p)" + em_sql("d", "boot_n") + " SELECT round(theta, 9) AS nhej, round(1 - theta, 9) AS mmej, k AS rounds FROM rounds WHERE done")
 def e1_em(spark: SparkSession, d: str) -> DataFrame:
     theta, history = em.em(p_rows(spark, d))
