@@ -6,12 +6,16 @@ from a hash of seed, draw and slot, so that every engine and every run draws the
 
 from __future__ import annotations
 
+import math
+
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from breakweave.sources.scratch import written
+
 
 def block_id(pos: Column, size: int) -> Column:
     """Nearest multiple of the block size, halves to even."""
@@ -183,20 +187,39 @@ def exceedance(a: DataFrame, b: DataFrame, column: str, tests: int = 1) -> DataF
     return out.withColumn("stars", F.when(F.col("p") < 0.001, "***").when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise("ns"))
 
 
+#: Differences up to which the null distribution is counted out, if none are tied.
+EXACT_PAIRS = 50
+
+
+def rank_sum_chance(w: float, n: int) -> float:
+    """The two-sided chance of a signed-rank statistic of n untied differences: signs are counted out by their rank sums."""
+    ways = [1] + [0] * (n * (n + 1) // 2)
+    for rank in range(1, n + 1):
+        for total in range(len(ways) - 1, rank - 1, -1):
+            ways[total] += ways[total - rank]
+    return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
+
+
 def wilcoxon(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    """w, n, z of the signed-rank test: zero differences go, ties share their mean rank, normal approximation.
+    """w, n, z, p of the signed-rank test: zero differences go, ties share their mean rank.
 
-    Ranks come from counts of each absolute difference, so only the distinct differences are ordered.
+    p is exact for up to EXACT_PAIRS differences without ties, else from the normal approximation (z); without any
+    difference, w is 0 and z and p are null. Ranks come from counts of each absolute difference; those are dealt by
+    ranges, ranked within, and lifted by the counts of the ranges before.
     """
     d = pairs.select((F.col(x) - F.col(y)).alias("d")).where("d is not null and d <> 0").withColumn("a", F.abs("d"))
     counts = d.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.sum("n").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2)
-    sums = ranked.agg(F.sum(F.col("up") * F.col("rank")).alias("w_plus"), F.sum((F.col("n") - F.col("up")) * F.col("rank")).alias("w_minus"), F.sum("n").alias("n"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
-    n = F.col("n")
-    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    w = F.least("w_plus", "w_minus")
-    return sums.select(w.alias("w"), "n", F.when(spread > 0, (w - n * (n + 1) / 4) / spread).alias("z"))
+    placed = written(counts.repartitionByRange("a").withColumn("part", F.spark_partition_id()), "differences")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lifts = placed.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("lift"))  # a row a range
+    ranked = placed.withColumn("inside", before(Window.partitionBy("part").orderBy("a"))).join(F.broadcast(lifts), "part").withColumn("rank", F.col("lift") + F.col("inside") + (F.col("n") + 1) / 2)
+    sums = ranked.agg(F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum((F.col("n") - F.col("up")) * F.col("rank")).alias("minus"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties")).first()
+    n, w, z, p = sums["n"], min(sums["plus"] or 0.0, sums["minus"] or 0.0), None, None
+    if n:
+        spread = (n * (n + 1) * (2 * n + 1) / 24 - sums["ties"] / 48) ** 0.5
+        z = (w - n * (n + 1) / 4) / spread if spread else None
+        p = rank_sum_chance(w, n) if n <= EXACT_PAIRS and not sums["ties"] else math.erfc(abs(z) / 2**0.5) if z is not None else None
+    return pairs.sparkSession.createDataFrame([(w, n, z, p)], "w double, n long, z double, p double")
 
 
 def melted(rows: DataFrame, ids: list[str], values: list[str]) -> DataFrame:

@@ -14,13 +14,24 @@ def _tiled(rows: DataFrame, start: str, end: str, size: int) -> DataFrame:
     return rows.withColumn("tile", F.explode(F.sequence((F.col(start) / size).cast("long"), (last / size).cast("long"))))
 
 
-def merged(intervals: DataFrame) -> DataFrame:
-    """Disjoint intervals: overlapping and touching ones of a chromosome become one."""
-    w = Window.partitionBy("chr").orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
-    grouped = marked.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("chr", "g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("g")
+def merged(intervals: DataFrame, size: int = TILE) -> DataFrame:
+    """Disjoint intervals: overlapping and touching ones of a chromosome become one.
+
+    Of the intervals that start at one base the longest counts, so a tile has `size` rows at most; within a tile ends
+    are carried along in order, and from tile to tile by one row each. Null chromosomes are one of their own.
+    """
+    longest = intervals.groupBy("chr", "start").agg(F.max("end").alias("end")).withColumn("tile", F.floor(F.col("start") / size))
+    earlier_tiles = Window.partitionBy("chr").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("chr", "tile").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ends = longest.groupBy("chr", "tile").agg(F.max("end").alias("end")).select(F.col("chr").alias("c"), F.col("tile").alias("t"), F.max("end").over(earlier_tiles).alias("carried"))
+    same = F.col("chr").eqNullSafe(F.col("c")) & (F.col("tile") == F.col("t"))
+    reach = F.greatest(F.max("end").over(earlier), F.col("carried"))
+    marked = longest.join(ends, same).withColumn("first", F.when(F.coalesce(F.col("start") > reach, F.lit(True)), F.col("start"))).drop("c", "t", "carried")
+    # An island is named by its first base: the last one up to a row, in its tile or before.
+    firsts = marked.groupBy("chr", "tile").agg(F.max("first").alias("first")).select(F.col("chr").alias("c"), F.col("tile").alias("t"), F.max("first").over(earlier_tiles).alias("carried"))
+    island = F.coalesce(F.max("first").over(earlier.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried"))
+    named = marked.join(firsts, same).withColumn("island", island)
+    return named.groupBy("chr", "island").agg(F.max("end").alias("end")).select("chr", F.col("island").alias("start"), "end")
 
 
 def contained(rows: DataFrame, intervals: DataFrame, size: int = TILE) -> DataFrame:

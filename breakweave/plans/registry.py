@@ -736,6 +736,18 @@ def a22_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     return blocks.wilcoxon(rows, "x", "y").select(F.round("w", 6).alias("w"), "n", F.round("z", 6).alias("z"))
 
 
+#: Twelve untied differences of line numbers' means: all 4096 signs are listed.
+@query(
+    """WITH RECURSIVE m AS (SELECT l_suppkey % 12 AS g, round(avg(l_extendedprice) - avg(l_quantity * 1500), 4) AS d FROM lineitem GROUP BY 1), r AS (SELECT d, row_number() OVER (ORDER BY abs(d)) AS k, count(*) OVER () AS n FROM m),
+    w AS (SELECT least(sum(CASE WHEN d > 0 THEN k ELSE 0 END), sum(CASE WHEN d < 0 THEN k ELSE 0 END)) AS w, max(n) AS n FROM r),
+    ways AS (SELECT 0 AS k, 0::BIGINT AS total, 1::DOUBLE AS n UNION ALL SELECT k + 1, total + s * (k + 1), sum(n) FROM ways, (SELECT unnest([0, 1]) AS s) WHERE k < (SELECT n FROM w) GROUP BY ALL)
+    SELECT CAST(w AS DOUBLE) AS w, round(least(1.0, 2 * (SELECT sum(x.n) FROM ways x WHERE x.k = w.n AND x.total <= w.w) / pow(2, n)), 9) AS p FROM w"""
+)
+def a22_exact_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
+    rows = world.read(spark, d, "lineitem").groupBy(F.col("l_suppkey") % 12).agg(F.round(F.avg("l_extendedprice") - F.avg(F.col("l_quantity") * 1500), 4).alias("x")).withColumn("y", F.lit(0.0))
+    return blocks.wilcoxon(rows, "x", "y").select("w", F.round("p", 9).alias("p"))
+
+
 @query("SELECT l_orderkey, l_linenumber, u.k AS variable, u.v AS value FROM (SELECT l_orderkey, l_linenumber, unnest([{'k': 'l_tax', 'v': l_tax}, {'k': 'l_discount', 'v': l_discount}]) AS u FROM lineitem)")
 def a24_melt(spark: SparkSession, d: str) -> DataFrame:
     return blocks.melted(world.read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_tax", "l_discount"])
@@ -830,6 +842,16 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chr", start.alias("start"), (start + 40 + F.col("o_orderkey") % 400).alias("end"))
 
 
+@query(
+    ANNOTATED
+    + """, ordered AS (SELECT chr, s, e, max(e) OVER (PARTITION BY chr ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM annot),
+    islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM ordered)
+    SELECT chr, min(s) AS start, max(e) AS "end" FROM islands GROUP BY chr, g"""
+)
+def j6_merged(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.merged(annotations(spark, d))
+
+
 @query(ANNOTATED + " SELECT a.variant_id, a.s AS start, a.e AS \"end\", b.s AS b_start, b.e AS b_end FROM spans a JOIN annot b ON a.chr = b.chr AND a.s >= b.s AND a.e <= b.e")
 def j6_contained(spark: SparkSession, d: str) -> DataFrame:
     return intervals.contained(spans(spark, d), annotations(spark, d)).drop("chr")
