@@ -20,9 +20,10 @@ from breakweave.operators.cleaning import describe, with_tile
 MH_REACH = 19
 
 
-def with_context(variants: DataFrame, genome: DataFrame, window: int = 50, longest: int | None = None) -> DataFrame:
+def with_context(variants: DataFrame, genome: DataFrame, window: int = 50, longest: int | None = None, far: bool = False) -> DataFrame:
     """Adds up, down, indel and around (1000 bases on both sides). Keys and lengths come from `describe`.
 
+    With far=True also around_far: the same about the other end of the bases that the reference has at the break.
     `longest`: the longest indel, if known, see `with_tile`.
     """
     near = with_tile(describe(variants), genome, max(S.LARGE_WINDOW, window + 1), F.col("indel_len"), longest)
@@ -32,8 +33,10 @@ def with_context(variants: DataFrame, genome: DataFrame, window: int = 50, longe
     up = S.fetch(seq, pos - F.when(deleted, wide).otherwise(F.lit(window)), pos, base)
     rest = S.fetch(seq, pos, pos + F.when(deleted, wide + 1).otherwise(F.lit(window) + n + 1), base)
     indel = F.when(deleted, F.substring("anc", 2, 1 << 30)).otherwise(F.substring("der", 2, 1 << 30))
+    end = pos + F.when(deleted, n).otherwise(0)
     return near.select(
         *[c for c in near.columns if c not in ("base", "tile_seq")],
+        *[S.fetch(seq, end - S.LARGE_WINDOW, end + S.LARGE_WINDOW, base).alias("around_far")] * far,
         indel.alias("indel"),
         up.alias("up"),
         F.when(deleted, rest).otherwise(F.concat(indel, rest)).alias("down"),
@@ -43,11 +46,17 @@ def with_context(variants: DataFrame, genome: DataFrame, window: int = 50, longe
 
 
 def both_directions(rows: DataFrame, crispr: bool = False) -> DataFrame:
-    """The rows and their reversed reading: of insertions only, or in CRISPR mode of all, with ids of their own."""
+    """The rows and their reversed reading: of insertions only, or in CRISPR mode of all, with ids of their own.
+
+    Read from the other side, a deletion's surroundings are those of its other end: around_far, reversed, where it is there.
+    """
     back = rows if crispr else rows.where("indel_type = 'INS'")
     tail = F.substring("down", F.col("indel_len") + 1, F.lit(1 << 30))
     turned = back.withColumn("_up", F.reverse(tail)).withColumn("indel", F.reverse("indel"))
     turned = turned.withColumn("down", F.concat("indel", F.reverse("up"))).withColumn("up", F.col("_up")).withColumn("direction", F.lit(1)).drop("_up")
+    if "around_far" in rows.columns:
+        turned = turned.withColumn("around", F.when(F.col("indel_type") == "DEL", F.reverse("around_far")).otherwise(F.col("around")))
+        rows, turned = rows.drop("around_far"), turned.drop("around_far")
     both = rows.unionByName(turned)
     return both.withColumn("variant_id", F.concat_ws(".", "variant_id", "direction")) if crispr else both
 

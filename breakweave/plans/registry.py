@@ -510,21 +510,55 @@ def s13_em_log(spark: SparkSession, d: str) -> DataFrame:
     return log.select("boot_n", "round", F.round("NHEJ", 9).alias("NHEJ"), "last")
 
 
-@query(None)
-def q1_q6_mechanism_lengths(spark: SparkSession, d: str) -> DataFrame:
-    found = detect.detect_slippage(detect.detect_deletions(contexts(spark, d), [3, 2]))
+MECHANISMS = ["nhej", "mmej3", "mmej2", "slip"]
+
+
+def mechanism_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Deletions read from both sides, each with the lengths that a mechanism would explain."""
+    near = detect.with_context(cleaned(spark, d), world.genome(spark, d), longest=world.LONGEST, far=True).where("indel_type = 'DEL'")
+    found = detect.detect_slippage(detect.detect_deletions(detect.both_directions(near, crispr=True), [3, 2]))
     three, two = F.get("del", F.lit(0)), F.get("del", F.lit(1))
     none = F.array().cast("array<int>")
-    rows = found.select(
+    return found.select(
         "variant_id",
+        "direction",
         F.col("indel_len").alias("len"),
         F.coalesce(three["positions"], none).alias("mmej3"),
         F.coalesce(two["positions"], none).alias("mmej2"),
         F.col("slip.positions").alias("slip"),
     )
-    theta, _, log = emq.fit(rows, ["nhej", "mmej3", "mmej2", "slip"], rounds=15)
-    names = ["nhej", "mmej3", "mmej2", "slip"]
-    return spark.createDataFrame([(n, float(t), len(log)) for n, t in zip(names, theta, strict=True)], "mechanism string, theta double, rounds int")
+
+
+def places_sql(k: int) -> str:
+    """Where, from the break, the last k bases of the indel end in the window about it, one less; none unless they are homologous."""
+    motif = f"right(indel, {k})"
+    return f"""CASE WHEN k_max >= {k} THEN list_transform(list_filter(range({k}, 2001), lambda e: abs(e - 1000) < 50 + indel_len AND substr(around, CAST(e - {k - 1} AS BIGINT), {k}) = {motif}), lambda e: e - 1001) ELSE [] END"""
+
+
+@query(
+    CLEANED
+    + f""", sides AS (
+      SELECT variant_id || '.0' AS variant_id, 0 AS direction, indel_len, substr(anc, 2) AS indel, substr(seq, pos - (50 + indel_len) + 1, 50 + indel_len) AS up, substr(seq, pos - 999, 2000) AS around FROM cleaned WHERE indel_type = 'DEL'
+      UNION ALL
+      SELECT variant_id || '.1', 1, indel_len, reverse(substr(anc, 2)), reverse(substr(seq, pos + 1 + indel_len, 51)), reverse(substr(seq, pos + indel_len - 999, 2000)) FROM cleaned WHERE indel_type = 'DEL'
+    ), homologous AS (SELECT *, len(list_filter(range(1, least(indel_len, length(up)) + 1), lambda k: right(indel, CAST(k AS INTEGER)) = right(up, CAST(k AS INTEGER)))) AS k_max FROM sides)
+    SELECT variant_id, direction, CAST(indel_len AS BIGINT) AS len, array_to_string({places_sql(3)}, ',') AS mmej3, array_to_string({places_sql(2)}, ',') AS mmej2 FROM homologous"""
+)
+def q6_both_directions(spark: SparkSession, d: str) -> DataFrame:
+    rows = mechanism_rows(spark, d)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return rows.select("variant_id", "direction", F.col("len").cast("long").alias("len"), text("mmej3"), text("mmej2"))
+
+
+@query(None)
+def q1_q6_mechanism_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Proportions by all smoothings, over both directions, to tolerance."""
+    rows = scratch.written(mechanism_rows(spark, d), "mechanisms")
+    out = []
+    for mode in ("full", "uniform", "savitzky_golay"):
+        theta, _, log = emq.fit(rows, MECHANISMS, mode=mode, rounds=60)
+        out += [(mode, n, float(t), len(log)) for n, t in zip(MECHANISMS, theta, strict=True)]
+    return spark.createDataFrame(out, "mode string, mechanism string, theta double, rounds int")
 
 
 EM_TYPES = [2, 3, 4, 6, 7, 8, 9, 10, 11, 12]
