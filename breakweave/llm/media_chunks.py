@@ -93,7 +93,8 @@ def samples(media: bytes) -> bytes:
 def store_media(docs: DataFrame, folder: str) -> DataFrame:
     """Chunk every text's media into pack files; doc_id, n_bytes, media_sha256 and the ordered chunks of each row.
 
-    A task writes a chunk once for all its rows. Pack names are new for every attempt of a task, so a retried
+    A pack holds a chunk once for all its rows; a task begins a new pack at a bounded size, and other packs may hold the same
+    chunk again: `chunk_table` keeps one place for each digest. Pack names are new for every attempt of a task, so a retried
     task never changes a file that other rows point to.
     """
     bounded_batches(docs.sparkSession)

@@ -194,10 +194,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket: in
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     labels = materialise(hot_join(rooted, least, ["root"]).select("fp", "component_id"), spark, "labels")
     return hot_join(each, labels, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """The documents that lead their component, with all their columns. Rows that share an id stay or go together; rows without id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), words, radius)
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
