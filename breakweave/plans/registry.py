@@ -1080,6 +1080,27 @@ def g8_g9_matched_lengths(spark: SparkSession, d: str) -> DataFrame:
     return simulate.match_lengths(made, wanted, 1)
 
 
+def drawn_sql(rounds: int) -> str:
+    """MMEJ deletions of several rounds of sites."""
+    each = " UNION ALL ".join(f"SELECT {k} AS round, chr, seq, 1100 + ('0x' || substr(md5('{3 + k}|' || chr || '|' || site), 1, 7))::BIGINT % room AS pos FROM sites" for k in range(rounds))
+    return f""", drawn AS ({each}), i AS (SELECT DISTINCT *, strpos(substr(seq, pos + 1, 54), substr(seq, pos - 3, 4)) AS i FROM drawn),
+    made AS (SELECT round, chr, pos, substr(seq, pos, i + 4) AS ref, substr(seq, pos, 1) AS alt, CAST(i + 3 AS INTEGER) AS indel_length FROM i WHERE i > 0 AND NOT regexp_matches(substr(seq, pos, i + 4), '[^ACGT]')
+      QUALIFY row_number() OVER (PARTITION BY chr, pos ORDER BY round) = 1)"""
+
+
+@query(
+    SITES
+    + drawn_sql(6)
+    + """ SELECT chr, pos, ref, alt, indel_length, CAST(round AS INTEGER) AS round FROM made
+    QUALIFY row_number() OVER (ORDER BY round, md5((9 + round) || '|' || chr || '|' || pos), chr, pos) <= (SELECT count(*) // 2 FROM placed_sites)"""
+)
+def g7_target_size(spark: SparkSession, d: str) -> DataFrame:
+    """Valid deletions in a given number, half as many as a round has sites, over as many rounds as it takes."""
+    contigs = world.genome(spark, d)
+    draw = lambda k: simulate.mmej_deletions(simulate.sites(contigs, 0.01, 3 + k, 1100), contigs, 4, 50)
+    return simulate.until_valid(draw, places(spark, d).count() // 2, 9)
+
+
 def load() -> None:
     """The queries that stand in modules of their own."""
     from breakweave.plans import file_queries  # noqa: F401
