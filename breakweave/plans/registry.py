@@ -299,6 +299,41 @@ def m3_m4_patterns(spark: SparkSession, d: str) -> DataFrame:
     return found.where("snap is not null or loop is not null").select("variant_id", "direction", "snap", "loop")
 
 
+def turned_sql(text: str) -> str:
+    return f"reverse(translate({text}, 'ACTG', 'TGAC'))"
+
+
+#: Greedy growth step by step is a count here: a pattern that is found holds the shorter ones, which are found as well.
+PATTERNS = INSERTIONS + f""", sides AS (
+  SELECT variant_id, 0 AS direction, CAST(indel_len AS BIGINT) AS n, up, indel AS ins, down FROM insertions
+  UNION ALL SELECT variant_id, 1, CAST(indel_len AS BIGINT), reverse(substr(down, CAST(indel_len + 1 AS BIGINT))), reverse(indel), reverse(indel) || reverse(up) FROM insertions
+), seeds AS (SELECT *, right(up, 1) || ins || substr(down, n + 1, 1) AS seed, substr(down, n + 3) AS ground, substr(down, n + 2) AS lower_ground FROM sides
+), seeded AS (SELECT *, {turned_sql("seed")} AS target, strpos(lower_ground, seed) - 1 AS gap FROM seeds WHERE length(seed) = n + 2
+), snaps AS (SELECT *, right(up, CAST(greatest(1, len(list_filter(range(1, least(19, length(up)) + 1), lambda i: contains(ground, left(target, length(target) - 1) || {turned_sql("right(up, CAST(i AS INTEGER))")})))) AS INTEGER)) AS mh2 FROM seeded WHERE contains(ground, target)
+), snap_reach AS (SELECT *, CAST(greatest(1, len(list_filter(range(1, CAST(length(down) - n AS BIGINT)), lambda i: contains(substr(down, CAST(n + i + 1 AS BIGINT)), {turned_sql("mh2 || ins || substr(down, n + 1, CAST(i AS BIGINT))")})))) AS BIGINT) AS reach FROM snaps
+), snap_grown AS (SELECT *, mh2 || ins || substr(down, n + 1, reach) AS grown, strpos(substr(down, n + reach + 1), {turned_sql("mh2 || ins || substr(down, n + 1, reach)")}) - 1 AS place FROM snap_reach
+), snap AS (SELECT variant_id, direction, up, ins, down, CASE WHEN place < 0 THEN right(up, 1) ELSE mh2 END AS mh2, substr(down, n + 1, CASE WHEN place < 0 THEN 1 ELSE reach END) AS p2,
+    {turned_sql("CASE WHEN place < 0 THEN seed ELSE grown END")} AS pattern, CASE WHEN place < 0 THEN strpos(lower_ground, target) - 1 ELSE place END AS dist FROM snap_grown
+), loops AS (SELECT *, list_transform(range(1, CASE WHEN gap > 1 THEN least(gap, length(up) + 1) ELSE 1 END), lambda i: strpos(lower_ground, right(up, CAST(i AS INTEGER)) || substr(seed, 2)) - 1) AS found FROM seeded WHERE contains(substr(down, n + 3), seed)
+), loop_steps AS (SELECT *, len(list_filter(found, lambda x: x >= 0)) AS all_found, list_position(list_transform(found, lambda x: x >= 0 AND x < n + 1), true) AS near FROM loops
+), loop_mh AS (SELECT *, CASE WHEN all_found = 0 THEN 1 WHEN near > 0 THEN least(near, all_found) ELSE all_found END AS taken FROM loop_steps
+), loop_at AS (SELECT *, right(up, CAST(taken AS INTEGER)) AS mh2, CASE WHEN len(found) = 0 OR all_found = 0 THEN gap ELSE found[taken] END AS spot FROM loop_mh
+), loop_reach AS (SELECT *, CAST(CASE WHEN gap > 1 THEN greatest(1, len(list_filter(range(1, least(gap, spot + 1)), lambda i: contains(lower_ground, mh2 || ins || substr(down, n + 1, CAST(i AS BIGINT)))))) ELSE 1 END AS BIGINT) AS reach FROM loop_at
+), loop AS (SELECT variant_id, direction, up, ins, down, mh2, substr(down, n + 1, reach) AS p2, mh2 || ins || substr(down, n + 1, reach) AS pattern, greatest(strpos(substr(down, n + reach + 1), mh2 || ins || substr(down, n + 1, reach)) - 1, 0) AS dist FROM loop_reach)
+SELECT 'snap' AS kind, variant_id, direction, ins, mh2, p2, pattern, CAST(dist AS BIGINT) AS dist FROM snap UNION ALL SELECT 'loop', variant_id, direction, ins, mh2, p2, pattern, CAST(dist AS BIGINT) FROM loop"""
+
+
+@query(PATTERNS)
+def m3_m4_pattern_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A row a snap-back or loop-out pattern."""
+    found = scratch.written(detect.detect_insertions(detect.both_directions(contexts(spark, d))).select("variant_id", "direction", "indel", "snap", "loop"), "patterns")
+    kinds = []
+    for kind in ("snap", "loop"):
+        p = F.col(kind)
+        kinds.append(found.where(p.isNotNull()).select(F.lit(kind).alias("kind"), "variant_id", "direction", F.col("indel").alias("ins"), p["mh2"].alias("mh2"), p["p2"].alias("p2"), p["pattern"].alias("pattern"), p["dist"].cast("long").alias("dist")))
+    return kinds[0].unionByName(kinds[1])
+
+
 @query(CLEANED + " SELECT indel_type, CAST(count(*) * CASE indel_type WHEN 'INS' THEN 2 ELSE 1 END AS BIGINT) AS n FROM cleaned GROUP BY indel_type")
 def m7_directions(spark: SparkSession, d: str) -> DataFrame:
     return detect.both_directions(contexts(spark, d)).groupBy("indel_type").agg(F.count(F.lit(1)).alias("n"))
