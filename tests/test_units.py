@@ -1,6 +1,7 @@
 """Hand-worked cases."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from breakweave.functions import sequence as S
@@ -189,3 +190,11 @@ def test_rows_by_their_keys(spark):
     b = spark.createDataFrame([("x",), ("x",), (None,)], "k string")
     assert [r["k"] for r in cleaning.in_both(a, b, ["k"]).collect()] == ["x", "x"]
     assert {r["k"] for r in cleaning.only_first(a, b, ["k"]).collect()} == {"y", None}
+
+
+def test_lengths_that_do_not_fit_are_an_error(spark):
+    rows = spark.createDataFrame([("a", 3, [2]), ("b", 50, [1])], "variant_id string, len int, mmej array<int>")
+    with pytest.raises(ValueError, match="50 does not fit"):
+        emq.fit(rows, ["nhej", "mmej"], window=50)
+    theta, dists, log = emq.fit(rows.where("len < 50"), ["nhej", "mmej"], window=50)
+    assert abs(theta.sum() - 1) < 1e-12 and emq.length_log(spark, ["nhej", "mmej"], log).count() == 2 * 50 * len(log)
