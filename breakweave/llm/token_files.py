@@ -23,7 +23,7 @@ from breakweave.llm.common import bounded_batches, materialise, read_only, share
 from breakweave.llm.token_count import byte_letters
 
 #: Words whose ids a Python worker remembers at most before it starts afresh.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_500_000
 MEMO_LENGTH = 200
 #: Words that are encoded in one call.
 TOGETHER = 8192
@@ -127,7 +127,7 @@ class Encoder:
             self.memo = {"": b""}
         split = [(text or "").replace("\n", " ").split(" ") for text in texts]
         fresh = {word for words in split for word in words}
-        fresh.difference_update(self.memo)
+        fresh = fresh.difference(self.memo)  # looks up the few, does not walk the many
         long = {word for word in fresh if len(word) > MEMO_LENGTH}
         self.learn(fresh - long)
         extra = {word: np.array(self.library.encode(word, add_special_tokens=False).ids, self.kind).tobytes() for word in long}
