@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from breakweave.operators import cleaning, simulate
+from breakweave.operators import cleaning, detect, simulate
 
 
 def nodes(plan):
@@ -51,3 +51,18 @@ def test_clean_meets_no_bases(spark):
         run.toRdd().count()
         joins = [n for n in nodes(run.executedPlan()) if n.getClass().getSimpleName().endswith("JoinExec")]
         assert joins and not [n for n in joins if "tile_seq" in n.output().toString()]
+
+
+def test_both_readings_come_from_one_row(spark):
+    """The reversed reading is made beside the given one: the table is read once."""
+    schema = "variant_id string, indel_type string, indel_len int, up string, indel string, down string, around string, around_far string, direction int"
+    rows = spark.createDataFrame([("i", "INS", 2, "AAC", "GT", "GTCCA", "x", "yz", 0), ("d", "DEL", 2, "AAC", "GT", "GTCCA", "x", "yz", 0)], schema)
+    pick = lambda frame: {(r["variant_id"], r["direction"]): (r["up"], r["indel"], r["down"], r["around"]) for r in frame.collect()}
+    given, turned = ("AAC", "GT", "GTCCA"), ("ACC", "TG", "TGCAA")
+    both = detect.both_directions(rows)
+    assert pick(both) == {("i", 0): (*given, "x"), ("i", 1): (*turned, "x"), ("d", 0): (*given, "x")}
+    every = detect.both_directions(rows, crispr=True)
+    assert pick(every) == {("i.0", 0): (*given, "x"), ("i.1", 1): (*turned, "x"), ("d.0", 0): (*given, "x"), ("d.1", 1): (*turned, "zy")}
+    for frame in (both, every):
+        frame._jdf.queryExecution().toRdd().count()
+        assert not [n for n in nodes(frame._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() == "UnionExec"]
