@@ -33,6 +33,34 @@ def test_sites_are_not_broadcast(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_sites_are_made_in_many_tasks(spark):
+    """The lengths that sites are exploded from are too small to tell how many sites there are."""
+    contigs = spark.createDataFrame([(f"c{k}", "ACGT" * 1000) for k in range(40)], "chr string, seq string")
+    sites = simulate.sites(contigs, 0.05, 3, 1100)
+    assert sites.count() == 40 * 90
+    assert sites.select(F.spark_partition_id().alias("part")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_small_files_do_not_tempt_the_planner_to_broadcast_sites(spark, tmp_path):
+    """Places, and what is known of them, come from files of a few bytes, below every threshold, but neither they nor their tiles are broadcast."""
+    rng = random.Random(4)
+    rows = [(f"c{k}", "".join(rng.choices("ACGT", k=5000))) for k in range(4)]
+    spark.createDataFrame(rows, "chr string, seq string").write.parquet(str(tmp_path / "genome"))
+    contigs = spark.read.parquet(str(tmp_path / "genome"))
+    sites = simulate.sites(contigs, 0.05, 3, 1100)
+    made = {
+        "g2": simulate.mmej_deletions(sites, contigs, 4, 50),
+        "g3": simulate.copied_insertions(sites, contigs, 1, 20, 5),
+        "g4": simulate.loop_out_insertions(sites, contigs, 3, 3, 60),
+        "g5": simulate.snap_back_insertions(sites, contigs, 3, 3, 60),
+        "g6": simulate.trans_mmej(sites, contigs, 3, 3, 50, 12),
+    }
+    for name, records in made.items():
+        run = records._jdf.queryExecution()
+        assert run.toRdd().count() > 0, name
+        assert not [n for n in nodes(run.executedPlan()) if n.getClass().getSimpleName() == "BroadcastExchangeExec"], name
+
+
 def test_clean_meets_no_bases(spark):
     """Contexts are judged by their tiles' odd runs, as a plain program judges them by their letters; no row carries a tile."""
     rng = random.Random(2)
