@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from breakweave.operators import cleaning, detect, simulate
+from breakweave.operators import aligner, cleaning, detect, simulate
 
 
 def nodes(plan):
@@ -94,3 +94,20 @@ def test_both_readings_come_from_one_row(spark):
     for frame in (both, every):
         frame._jdf.queryExecution().toRdd().count()
         assert not [n for n in nodes(frame._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() == "UnionExec"]
+
+
+def test_pairs_of_the_same_lengths_are_aligned_together(monkeypatch):
+    """A batch takes one pass for each two lengths, not one for each pair, and gives each pair what it has alone."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("AC", k=n))
+    pairs = [(up + word(n) + down, up + word(2) + down) for n in (3, 7) for up, down in ((word(12), word(12)) for _ in range(100))] + [("", "A"), ("AC", "AC")]
+    for scores in (aligner.LOCAL, aligner.GLOBAL):
+        alone = [aligner.first_records(*p, scores) for p in pairs]
+        passes = []
+        with monkeypatch.context() as m:
+            plain = aligner.suffix_scores
+            m.setattr(aligner, "suffix_scores", lambda *a: passes.append(1) or plain(*a))
+            assert aligner.first_records_of(pairs, scores) == alone
+            assert len(passes) == 3
+            m.setattr(aligner, "CELLS", 1000)
+            assert aligner.first_records_of(pairs, scores) == alone
