@@ -22,6 +22,9 @@ EPSILON = 1e-6
 SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("lk", "p_val", "p_chance", "freq_eq")])
 CODE = np.full(256, -1, np.int64)
 CODE[[ord(b) for b in BASES]] = range(4)
+FIVE = np.where(CODE < 0, 4, CODE).astype(np.int16)
+#: Letters of contexts, about, that are counted at once.
+LETTERS = 1 << 19
 
 
 def trimer_counts(contexts: DataFrame, key: str = "id") -> DataFrame:
@@ -65,14 +68,20 @@ def shares(counts: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def _tables(contexts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Transition probabilities (rows, 4, 4, 4) and dimer frequencies (rows, 4, 4)."""
+    """Transition probabilities (rows, 4, 4, 4) and dimer frequencies (rows, 4, 4), counted over many rows at once."""
     m, f = np.full((len(contexts), 64), EPSILON), np.zeros((len(contexts), 16))
-    for r, text in enumerate(contexts):
-        c = CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
-        d = np.where((c[:-1] < 0) | (c[1:] < 0), -1, c[:-1] * 4 + c[1:])
-        t = np.where((d[:-1] < 0) | (c[2:] < 0), -1, d[:-1] * 4 + c[2:]) if len(c) > 2 else np.empty(0, np.int64)
-        m[r] += np.bincount(t[t >= 0], minlength=64)
-        f[r] = np.bincount(d[d >= 0], minlength=16) / max(len(c) - 1, 1) + EPSILON
+    texts = [text.encode("ascii", "replace") for text in contexts]
+    lengths = np.array([len(x) for x in texts])
+    part = (np.cumsum(lengths) - lengths) // LETTERS
+    for first, last in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right")), strict=True):
+        # Rows are set apart by a letter that is no base; all such are a fifth letter, so every dimer begins a trimer.
+        c = FIVE[np.frombuffer(b"-".join(texts[first:last]) + b"---", np.uint8)]
+        row = np.repeat(np.arange(0, 125 * (last - first), 125), lengths[first:last] + 1)
+        n = np.bincount(row + (25 * c[:-2] + 5 * c[1:-1] + c[2:]), minlength=125 * (last - first))
+        n = n.reshape(-1, 5, 5, 5)[:, :4, :4]
+        m[first:last] += n[..., :4].reshape(-1, 64)
+        f[first:last] = n.sum(3).reshape(-1, 16)
+    f = f / np.maximum(lengths - 1, 1)[:, None] + EPSILON
     m = m.reshape(-1, 4, 4, 4)
     return m / m.sum(3, keepdims=True), f.reshape(-1, 4, 4)
 
@@ -155,18 +164,23 @@ def total_probability(context: list[str], motif: list[str], length: list[int], m
     n = np.array([length[r] for r in good])
     start = np.array([last[r][-2:] for r in good])
     ends = np.array([codes[r][-2:] if len(codes[r]) > 1 else last[r][-2:] for r in good])
-    own = np.ones(k)
+    sizes = np.array([len(codes[r]) for r in good])
+    x = np.zeros((k, max(2, int(sizes.max()))), np.int64)
     for i, r in enumerate(good):
-        x = codes[r]
-        before = [ends[i], (x[-1], x[0]), *zip(x[:-1], x[1:], strict=True)] if len(x) > 1 else [ends[i]]
-        own[i] = np.prod([m[i, a, b, c] for (a, b), c in zip(before, x, strict=False)])
-    state = np.zeros((k, 4, 4))
-    state[rows, start[:, 0], start[:, 1]] = 1
+        x[i, : sizes[i]] = codes[r]
+    own = m[rows, ends[:, 0], ends[:, 1], x[:, 0]]
+    for j in range(1, int(sizes.max())):
+        before = (x[rows, sizes - 1], x[:, 0]) if j == 1 else (x[:, j - 2], x[:, j - 1])
+        own = np.where(sizes > j, own * m[rows, *before, x[:, j]], own)
+    # Rows are the last axis, so that a step is sixteen sums over whole columns.
+    m = np.ascontiguousarray(m.transpose(1, 2, 3, 0))
+    state = np.zeros((4, 4, k))
+    state[start[:, 0], start[:, 1], rows] = 1
     missed = np.ones(k)
     for t in range(int(n.max())):
         if t:
-            state = np.einsum("rab,rabc->rbc", state, m)
-        missed = np.where(t < n, missed * (1 - (state[rows, ends[:, 0], ends[:, 1]] + EPSILON) * own), missed)
+            state = sum(state[a][:, None] * m[a] for a in range(4))
+        missed = np.where(t < n, missed * (1 - (state[ends[:, 0], ends[:, 1], rows] + EPSILON) * own), missed)
     out[good] = 1 - missed
     return out
 

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from breakweave.operators import aligner, cleaning, detect, simulate
+from breakweave.operators import aligner, cleaning, detect, markov, simulate
 
 
 def nodes(plan):
@@ -111,3 +112,22 @@ def test_pairs_of_the_same_lengths_are_aligned_together(monkeypatch):
             assert len(passes) == 3
             m.setattr(aligner, "CELLS", 1000)
             assert aligner.first_records_of(pairs, scores) == alone
+
+
+def test_trimers_of_many_contexts_are_counted_at_once(monkeypatch):
+    """Contexts are counted together, odd letters and short ones among them, as each is alone; not a call a context."""
+    rng = random.Random(6)
+    contexts = ["".join(rng.choices("ACGTN", (9, 9, 9, 9, 1), k=rng.choice((0, 1, 2, 3, 50, 300)))) for _ in range(200)] + ["", "A", "AC", "ACG", "é" * 5]
+    calls = []
+    plain = np.bincount
+    monkeypatch.setattr(markov.np, "bincount", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    m, f = markov._tables(contexts)
+    assert len(calls) == 1
+    monkeypatch.setattr(markov, "LETTERS", 1000)
+    again = markov._tables(contexts)
+    assert (again[0] == m).all() and (again[1] == f).all() and len(calls) > 3
+    for r, text in enumerate(contexts):
+        grams = lambda w: [text[i : i + w] for i in range(len(text) - w + 1)]  # noqa: E731, B023
+        n = np.array([[[grams(3).count(a + b + c) for c in "ACGT"] for b in "ACGT"] for a in "ACGT"]) + markov.EPSILON
+        assert np.allclose(m[r], n / n.sum(2, keepdims=True), rtol=1e-12, atol=0)
+        assert np.allclose(f[r], np.array([[grams(2).count(a + b) for b in "ACGT"] for a in "ACGT"]) / max(len(text) - 1, 1) + markov.EPSILON, rtol=1e-12, atol=0)
