@@ -21,6 +21,8 @@ DOCS = 16
 SHORTEST = 2300
 #: No allele is longer.
 LONGEST = 31
+#: Bases of the tiles that variants are spelt from: their alleles reach 128 bases at most, and each has its tile copied next to it.
+SHORT_TILE = 256
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +60,7 @@ def variants(spark: SparkSession, sf_dir: str, contigs: DataFrame | None = None)
         (F.col("l_suppkey") % 60).cast("int").alias("gap"),
         (F.col("l_orderkey") % 3).cast("int").alias("ancestral"),
     )
-    near = with_tile(placed, contigs, 128, deal=True)
+    near = with_tile(placed, contigs, 128, size=SHORT_TILE, deal=True)
     at = lambda start, length: fetch(F.col("tile_seq"), F.col("pos") - 1 + start, F.col("pos") - 1 + start + length, F.col("base"))
     copied = at(2 + F.col("gap"), F.col("n"))
     put = F.when(F.col("l_linenumber") % 4 == 2, reverse_complement(copied)).otherwise(copied)

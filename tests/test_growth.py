@@ -1,11 +1,16 @@
 """Plans whose cost must not grow faster than their input."""
 
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from breakweave.operators import aligner, cleaning, detect, markov, simulate
+from breakweave.sources import world
+
+DATA = "/root/testdata/sf0.001"
 
 
 def nodes(plan):
@@ -131,3 +136,15 @@ def test_trimers_of_many_contexts_are_counted_at_once(monkeypatch):
         n = np.array([[[grams(3).count(a + b + c) for c in "ACGT"] for b in "ACGT"] for a in "ACGT"]) + markov.EPSILON
         assert np.allclose(m[r], n / n.sum(2, keepdims=True), rtol=1e-12, atol=0)
         assert np.allclose(f[r], np.array([[grams(2).count(a + b) for b in "ACGT"] for a in "ACGT"]) / max(len(text) - 1, 1) + markov.EPSILON, rtol=1e-12, atol=0)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_variants_are_spelt_from_short_tiles(spark, monkeypatch):
+    """Each variant has its tile copied next to it: no more than 512 bases, which spell the same alleles as longer ones."""
+    met, plain = [], world.with_tile
+    monkeypatch.setattr(world, "with_tile", lambda *a, **k: met.append(plain(*a, **k)) or met[-1])
+    contigs = world.genome(spark, DATA)
+    short = world.variants(spark, DATA, contigs)
+    assert met[0].agg(F.max(F.length("tile_seq"))).first()[0] <= 512
+    monkeypatch.setattr(world, "with_tile", lambda *a, size, **k: plain(*a, **k))
+    assert sorted(short.collect()) == sorted(world.variants(spark, DATA, contigs).collect())
