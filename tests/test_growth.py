@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from breakweave.operators import aligner, cleaning, detect, markov, simulate
+from breakweave.operators import aligner, cleaning, detect, markov, realign, simulate
 from breakweave.sources import world
 
 DATA = "/root/testdata/sf0.001"
@@ -148,3 +148,42 @@ def test_variants_are_spelt_from_short_tiles(spark, monkeypatch):
     assert met[0].agg(F.max(F.length("tile_seq"))).first()[0] <= 512
     monkeypatch.setattr(world, "with_tile", lambda *a, size, **k: plain(*a, **k))
     assert sorted(short.collect()) == sorted(world.variants(spark, DATA, contigs).collect())
+
+
+def test_letters_of_a_tile_are_counted_once(spark, monkeypatch):
+    """Scores and counts of motifs in a tile are those of each row's own surroundings; a tile is read once, not once a row."""
+    rng = random.Random(7)
+    seq = "".join(rng.choices("ACGTN", (99, 99, 99, 99, 1), k=6000))
+    places = sorted(rng.choices(range(900, 5900), k=400))
+    motif = lambda p: rng.choice((None, "", seq[p : p + rng.randrange(1, 9)]))
+    rows = [("c", p, motif(p), rng.randrange(-1, 30), seq[p - 2 : p], motif(p), rng.randrange(30), seq[p : p + 2]) for p in places]
+    names = ["chr", "pos", "motif0", "dist0", "memory0", "motif1", "dist1", "memory1"]
+    variants = spark.createDataFrame(rows, "chr string, pos long, motif0 string, dist0 int, memory0 string, motif1 string, dist1 int, memory1 string")
+    near = cleaning.with_tile(variants, spark.createDataFrame([("c", seq)], "chr string, seq string"), 1000, deal=True)
+    found = markov.scored_in_tiles(near, 2)
+    assert found.columns[:2] == ["chr", "pos"] and found.count() == len(rows)
+    batch = near.select(*names, "base", "tile_seq").toArrow().combine_chunks().to_batches()[0]
+    made, plain = [], markov.Tile
+    monkeypatch.setattr(markov, "Tile", lambda text: made.append(1) or plain(text))
+    got, _ = markov._near(batch, (None,) * 4, 2, True)
+    assert 0 < len(made) <= 6
+    got = [c.to_pylist() for c in got]
+    given = batch.to_pylist()
+    around = [seq[max(r["pos"] - 1000, 0) : r["pos"] + 1000] for r in given]
+    for k in (0, 1):
+        want = markov.markov_scores(around, [r[f"motif{k}"] for r in given], [r[f"dist{k}"] for r in given], [r[f"memory{k}"] for r in given])
+        for j in range(4):
+            assert [x if x is not None else "-" for x in got[5 * k + j]] == [x if x == x else "-" for x in want[:, j].tolist()]
+        times = lambda text, m: sum(text.startswith(m, i) for i in range(len(text) - len(m) + 1)) if m else 0
+        assert got[5 * k + 4] == [None if r[f"motif{k}"] is None else times(a, r[f"motif{k}"]) for r, a in zip(given, around, strict=True)]
+    assert sorted(map(str, zip(*got, strict=True))) == sorted(str(tuple(r)[2:]) for r in found.collect())
+
+
+def test_only_rows_for_the_aligner_are_on_the_way_to_it(spark):
+    """Pure indels are slid by built-in expressions alone: their branch has no Python step."""
+    rows = spark.createDataFrame([("c", 50, "AC", "A", "AC", "A"), ("c", 60, "ACG", "TT", "ACG", "TT")], "chr string, pos long, ref string, alt string, anc string, der string")
+    genome = spark.createDataFrame([("c", "ACGT" * 100)], "chr string, seq string")
+    found = realign.realign(rows, genome, flank=20, longest=3)
+    assert {r["realign_mode"] for r in found.collect()} == {"pure", "complex"}
+    plan = found.where("realign_mode = 'pure'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan
