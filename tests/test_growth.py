@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from breakweave.operators import aligner, cleaning, detect, markov, realign, simulate
+from breakweave.operators import aligner, cleaning, detect, em, markov, realign, simulate
 from breakweave.sources import world
 
 DATA = "/root/testdata/sf0.001"
@@ -187,3 +187,40 @@ def test_only_rows_for_the_aligner_are_on_the_way_to_it(spark):
     assert {r["realign_mode"] for r in found.collect()} == {"pure", "complex"}
     plan = found.where("realign_mode = 'pure'")._jdf.queryExecution().optimizedPlan().toString()
     assert "EvalPython" not in plan
+
+
+def test_placements_move_once(spark):
+    """Rows dealt by tile are deduplicated and meet their tiles where they lie; the result is that of the plain way."""
+    rng = random.Random(8)
+    seq = "".join(rng.choices("ACGT", k=5000))
+    rows = [("c", p, seq[p - 1 : p + 2], seq[p - 1], p - rng.randrange(3), 1 + rng.randrange(3)) for p in rng.choices(range(100, 4900), k=3000)]
+    placed = spark.createDataFrame(rows, "chr string, pos long, anc string, der string, original_pos long, realign_idx int")
+    genome = spark.createDataFrame([("c", seq)], "chr string, seq string")
+    plain = detect.with_context(cleaning.dedupe(placed), genome, longest=4)
+    once = detect.with_context(cleaning.dedupe(cleaning.dealt(placed)), genome, longest=4)
+    assert sorted(once.select(*plain.columns).collect()) == sorted(plain.collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moves = []
+        for frame in (plain, once):
+            run = frame._jdf.queryExecution()
+            run.toRdd().count()
+            moves.append(len([n for n in nodes(run.executedPlan()) if n.getClass().getSimpleName() == "ShuffleExchangeExec"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moves == [3, 2]
+    with pytest.raises(Exception, match="longer than 1"):
+        detect.with_context(cleaning.dealt(placed), genome, longest=1).collect()
+
+
+def test_a_round_reads_each_kind_of_variant_once(spark):
+    """Variants with the same probabilities are one row of a round; shares are those of single variants."""
+    rng = random.Random(9)
+    rows = [(b, f"v{k}", p) for b in range(2) for k in range(300) for p in rng.choice(((1.0,), (0.2, 0.9), (0.5,)))]
+    frame = spark.createDataFrame(rows, "boot_n long, variant_id string, p double")
+    one = frame.where("boot_n = 0").drop("boot_n")
+    kinds = em.alike(em.gathered(one), [])
+    assert kinds.count() == 3 and kinds.agg(F.sum("n")).first()[0] == 300
+    assert em.em_round(kinds, 0.7) == pytest.approx(em.em_round(em.gathered(one), 0.7), abs=1e-12)
+    theta = em.em(one)[0]
+    assert {r["boot_n"]: r["NHEJ"] for r in em.em_by_draw(frame).collect()}[0] == pytest.approx(theta, abs=1e-12)
