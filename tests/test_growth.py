@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from breakweave.operators import aligner, cleaning, detect, em, markov, realign, simulate
-from breakweave.sources import world
+from breakweave.sources import readers, world
 
 DATA = "/root/testdata/sf0.001"
 
@@ -224,3 +224,17 @@ def test_a_round_reads_each_kind_of_variant_once(spark):
     assert em.em_round(kinds, 0.7) == pytest.approx(em.em_round(em.gathered(one), 0.7), abs=1e-12)
     theta = em.em(one)[0]
     assert {r["boot_n"]: r["NHEJ"] for r in em.em_by_draw(frame).collect()}[0] == pytest.approx(theta, abs=1e-12)
+
+
+def test_filters_do_not_parse_calls_again(spark, tmp_path):
+    """Calls are parsed where alternatives are told apart, not in each filter; odd calls are read as before."""
+    lines = ["##x", "c\t5\t.\tA\tAC,ACC\t.\t.\t.\tGT:DP\t0|1:3\t./2:4\t1/1\t.:1\tx|2", "c\t6\t.\tA\tAC\t.\t.\t.\tGT"]
+    (tmp_path / "v.vcf").write_text("\n".join(lines) + "\n")
+    rows = readers.vcf_genotypes(spark, str(tmp_path / "v.vcf"))
+    assert [r["calls"] for r in rows.orderBy("pos").collect()] == [[0, 1, None, 2, 1, 1, None, None, 2], []]
+    split = {(r["pos"], r["alt"]): r["genotypes"] for r in cleaning.split_multiallelic(rows).collect()}
+    assert split == {(5, "AC"): [0, 1, None, 0, 1, 1, None, None, 0], (5, "ACC"): [0, 0, None, 1, 0, 0, None, None, 1], (6, "AC"): []}
+    kept = cleaning.population_filter(rows, 0.5, 2)
+    assert sorted(r["alt"] for r in kept.collect()) == ["AC", "ACC"]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring_index(") == 1
